@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from veridict.llm import exact_dedup, mixing, sharding
+from veridict.llm import exact_dedup, mixing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

@@ -50,10 +50,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def word_array(text: Column) -> Column:
+    """The words in order. Edges are trimmed first, so that the split makes no empty pieces."""
+    trimmed = F.trim(text, F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
+
+
 def word_count(text: Column) -> Column:
-    """Number of words; JVM only. Blanks become spaces, then edges and empty pieces are discounted."""
-    spaced = F.trim(F.regexp_replace(text, BLANK_RUN, " "))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.size(word_array(text)).cast("long")
 
 
 def unit_interval(*key: Column) -> Column:

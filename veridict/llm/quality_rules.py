@@ -14,24 +14,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridict.llm.common import BLANK_RUN, documents, whole_text, word_count
+from veridict.llm.common import documents, whole_text, word_array
 
 #: Rows of the sample on which costs and selectivities are estimated; the verdict does not depend on it.
 SAMPLE_ROWS = 2_000
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: Limits of the cascade's own rules, beside the two base rules.
-MOST_SYMBOLS_PER_WORD = 0.5
+MOST_SYMBOLS_PER_WORD = 0.1
+MOST_CAPITALS = 0.5
 MOST_DUPLICATE_LINES = 0.3
 WORD_LENGTHS = (2.0, 25.0)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` gets the text column (null texts are empty) and tells whether the text is to go."""
+    """``reject`` gets the text (null texts are empty) and its words, and tells whether the text is to go."""
 
     name: str
-    reject: Callable[[Column], Column]
+    reject: Callable[[Column, Column], Column]
     base: bool = False
 
 
@@ -40,63 +41,70 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
-
-
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, BLANK_RUN, "")).cast("long")
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long")
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def n_dup_lines(text: Column) -> Column:
     return let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words(text: Column, window: int = WINDOW) -> Column:
-    """Words within windows of ``window`` words that the text has twice or more. Windows are told apart by two 64-bit
-    hashes; sorted by hash, equal ones are neighbours, and the starts found are sorted back to add up what they cover."""
+def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
+    """Words within windows of ``window`` words that the text has twice or more.
+
+    Windows are 64-bit hashes of their words' 64-bit hashes. Most texts repeat none, which the number of distinct ones
+    tells; else, sorted by hash, equal windows are neighbours, and their starts are sorted to add up what they cover.
+    """
+
+    def covered(starts: Column) -> Column:
+        return F.aggregate(F.transform(starts, lambda x, i: F.least(F.coalesce(F.get(starts, i + 1) - x, F.lit(window)), F.lit(window))), F.lit(0), lambda a, b: a + b)
+
+    def starts(placed: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(placed, i)["h"] == x["h"], F.lit(False))
+        found = F.transform(placed, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["at"]))
+        return let(F.sort_array(F.filter(found, lambda x: x.isNotNull())), covered)
 
-    def repeated(windows: Column) -> Column:
-        same = lambda i, j: (F.get(windows, i)["h"] == F.get(windows, j)["h"]) & (F.get(windows, i)["g"] == F.get(windows, j)["g"])
-        found = F.filter(F.transform(windows, lambda x, i: F.when(F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)), x["at"])), lambda x: x.isNotNull())
-        covered = lambda starts: F.aggregate(F.transform(starts, lambda x, i: F.least(F.coalesce(F.get(starts, i + 1) - x, F.lit(window)), F.lit(window))), F.lit(0), lambda a, b: a + b)
-        return let(F.array_sort(found), covered)
+    def count(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(placed, starts))
 
-    def hashed(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(w) - (window - 1))
-        piece = lambda i: let(F.array_join(F.slice(w, i, window), " "), lambda s: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"), i.alias("at")))
-        return F.when(F.size(w) >= window, let(F.array_sort(F.transform(at, piece)), repeated)).otherwise(0)
+    def windows(of_words: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(of_words) - window)
+        return let(F.transform(at, lambda i: F.xxhash64(*[F.get(of_words, i + k) for k in range(window)])), count)
 
-    return let(words(text), hashed).cast("long")
+    return F.when(F.size(words) >= window, let(F.transform(words, lambda w: F.xxhash64(w)), windows)).otherwise(0).cast("long")
 
 
-def few_words(text: Column) -> Column:
-    return word_count(text) < 10
+def few_words(text: Column, words: Column) -> Column:
+    return F.size(words) < 10
 
 
-def repetitive(text: Column) -> Column:
-    return 100 * n_repeat_words(text) > 20 * word_count(text)
+def repetitive(text: Column, words: Column) -> Column:
+    return 100 * n_repeat_words(words) > 20 * F.size(words)
 
 
-def symbol_heavy(text: Column) -> Column:
-    return n_symbols(text) > MOST_SYMBOLS_PER_WORD * word_count(text)
+def symbol_heavy(text: Column, words: Column) -> Column:
+    return n_symbols(text) > MOST_SYMBOLS_PER_WORD * F.size(words)
 
 
-def line_heavy(text: Column) -> Column:
+def line_heavy(text: Column, words: Column) -> Column:
     return let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x)) > MOST_DUPLICATE_LINES * F.size(x))
 
 
-def odd_words(text: Column) -> Column:
-    n = F.greatest(word_count(text), F.lit(1))
-    return ~(word_chars(text) / n).between(*WORD_LENGTHS)
+def odd_words(text: Column, words: Column) -> Column:
+    return ~(word_chars(words) / F.greatest(F.size(words), F.lit(1))).between(*WORD_LENGTHS)
+
+
+def shouting(text: Column, words: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^A-Z]+", "")) > MOST_CAPITALS * word_chars(words)
 
 
 RULES = (
@@ -105,6 +113,7 @@ RULES = (
     Rule("symbol_heavy", symbol_heavy),
     Rule("line_heavy", line_heavy),
     Rule("odd_words", odd_words),
+    Rule("shouting", shouting),
 )
 
 
@@ -117,25 +126,25 @@ class Estimate:
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and selectivity of each rule on the first ``rows`` rows met, best rejection per cost first."""
-    sample = docs.select(whole_text().alias("text")).limit(rows).cache()
+    sample = docs.select(whole_text().alias("t")).limit(rows).withColumn("w", word_array(F.col("t"))).cache()
     try:
         n = max(1, sample.count())
         found = []
         for rule in rules:
             began = time.perf_counter()
-            hits = sample.agg(F.count_if(rule.reject(F.col("text")))).first()[0]
+            hits = sample.agg(F.count_if(rule.reject(F.col("t"), F.col("w")))).first()[0]
             found.append(Estimate(rule, time.perf_counter() - began, hits / n))
     finally:
         sample.unpersist()
     return sorted(found, key=lambda e: (-e.rejected / max(e.seconds, 1e-6), e.rule.name))
 
 
-def cascade(text: Column, rules: list[Rule]) -> Column:
+def cascade(text: Column, words: Column, rules: list[Rule]) -> Column:
     """Name of the first rule, in this order, that rejects the text; null where none does."""
     first, *rest = rules
-    out = F.when(first.reject(text), first.name)
+    out = F.when(first.reject(text, words), first.name)
     for rule in rest:
-        out = out.when(rule.reject(text), rule.name)
+        out = out.when(rule.reject(text, words), rule.name)
     return out
 
 
@@ -146,19 +155,19 @@ def quality(docs: DataFrame) -> DataFrame:
     here holds the rules that are not base rules, run on what those left.
     """
     order = [e.rule for e in estimate(docs, tuple(r for r in RULES if not r.base))]
-    text = F.col("t")
-    measured = docs.select("doc_id", whole_text().alias("t")).select(
-        "doc_id", "t", word_count(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words")
-    )
+    text, words = F.col("t"), F.col("w")
+    split = docs.select("doc_id", whole_text().alias("t")).withColumn("w", word_array(text))
+    measured = split.select("doc_id", "t", "w", F.size(words).cast("long").alias("n_words"), word_chars(words).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    kept = F.when(failed, False).otherwise(cascade(text, order).isNull())
+    kept = F.when(failed, False).otherwise(cascade(text, words, order).isNull())
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` without what the whole cascade rejects."""
     order = [e.rule for e in estimate(docs, rules)]
-    return docs.where(cascade(whole_text(), order).isNull())
+    split = docs.select(F.struct(*docs.columns).alias("row"), whole_text().alias("t")).withColumn("w", word_array(F.col("t")))
+    return split.where(cascade(F.col("t"), F.col("w"), order).isNull()).select("row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +189,7 @@ WITH d AS (
 ), m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals,
          CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
          coalesce(c.n, 0) AS n_repeat_words
@@ -189,6 +199,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT n_symbols > {MOST_SYMBOLS_PER_WORD} * n_words
          AND NOT n_dup_lines > {MOST_DUPLICATE_LINES} * n_lines
-         AND word_chars / greatest(n_words, 1) BETWEEN {WORD_LENGTHS[0]} AND {WORD_LENGTHS[1]} AS kept
+         AND word_chars / greatest(n_words, 1) BETWEEN {WORD_LENGTHS[0]} AND {WORD_LENGTHS[1]}
+         AND NOT n_capitals > {MOST_CAPITALS} * word_chars AS kept
 FROM m
 """

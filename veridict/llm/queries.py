@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from veridict.llm import exact_dedup, mixing, quality_rules, sharding, simhash
+from veridict.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
     "op3_sharding": sharding.op3_sharding,
+    "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filters": url_filters.OP1_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veridict.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash, url_filters
+from veridict.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,

@@ -9,7 +9,6 @@ runs of a hash too frequent for one shard are spread over several, whose sorted
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ GRAM = 24
 #: Windows in a run at most; longer runs are cut.
 MOST_WINDOWS = 2048
 #: Bytes of a shard, and of one hash's runs from which on they are spread.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Stands for a null id within keys.
 NO_ID = -(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -125,17 +124,44 @@ def shard_repeats(shard: pd.DataFrame, length: int) -> tuple[pd.DataFrame, pd.Da
     counts = np.diff(np.append(starts, len(row)))
     s1, s2 = shard["s1"].to_numpy(), shard["s2"].to_numpy()
     spans = pd.DataFrame({"s1": s1[row[starts]], "s2": s2[row[starts]], "low": low[starts], "high": low[starts] + counts})
-    spread = np.flatnonzero(shard["parts"].to_numpy() > 1).tolist()
-    # one window of each class stands for the shard in the merge
-    place_class = dict(zip(zip(owner.tolist(), offset.tolist()), classes.tolist())) if spread else {}
-    told, rows = set(), []
-    for i in spread:
-        for at in range(len(pieces[i]) - length + 1):
-            its = place_class.get((i, at))
-            if its is None or its not in told:
-                told.add(its)
-                rows.append((hashlib.blake2b(pieces[i][at : at + length], digest_size=16).digest(), int(s1[i]), int(s2[i]), at))
-    return spans, pd.DataFrame(sorted(rows), columns=["digest", "s1", "s2", "low"])
+    return spans, spread_windows(shard, pieces, owner, offset, classes, length)
+
+
+def window_digests(words: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit hashes of the ``length`` bytes from each place, by rows."""
+    out = np.empty((len(places), 2), np.uint64)
+    for low in range(0, len(places), 1 << 16):
+        at = places[low : low + (1 << 16)]
+        one, two = np.full(len(at), MIX[0]), np.full(len(at), MIX[1])
+        for i in [*range(0, length - 8, 8), length - 8]:
+            word = words[at + i]
+            one = (one ^ word) * MIX[1]
+            one ^= one >> np.uint64(31)
+            two = (two + word) * MIX[2]
+            two ^= two >> np.uint64(28)
+        out[low : low + len(at), 0], out[low : low + len(at), 1] = one, two
+    return out
+
+
+def spread_windows(shard: pd.DataFrame, pieces: list[bytes], owner: np.ndarray, offset: np.ndarray, classes: np.ndarray, length: int) -> pd.DataFrame:
+    """Digests of the windows of spread runs in order; one window of each class stands for the shard in the merge."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts = np.cumsum(lengths) - lengths
+    mine = shard["parts"].to_numpy() > 1
+    if not mine.any():
+        return pd.DataFrame({"d1": [], "d2": [], "s1": [], "s2": [], "low": []})
+    left = np.repeat(starts + lengths, lengths) - np.arange(lengths.sum())
+    wanted = (left >= length) & np.repeat(mine, lengths)
+    there = starts[owner] + offset
+    later = np.ones(len(classes), bool)
+    later[np.unique(classes, return_index=True)[1]] = False
+    wanted[there[later]] = False
+    places = np.flatnonzero(wanted)
+    its = np.repeat(np.arange(len(pieces)), lengths)[places]
+    digests = window_digests(suffix_array.words_at(np.frombuffer(b"".join(pieces), np.uint8)), places, length)
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    its, places, digests = its[order], places[order], digests[order]
+    return pd.DataFrame({"d1": digests[:, 0], "d2": digests[:, 1], "s1": shard["s1"].to_numpy()[its], "s2": shard["s2"].to_numpy()[its], "low": places - starts[its]})
 
 
 def _shards(length: int, slices: int):
@@ -150,34 +176,32 @@ def _shards(length: int, slices: int):
                 yield spans.assign(slice=pd.array([None] * len(spans), "Int64"), run=None, refs=None)
             if not len(merge):
                 continue
-            heads = np.frombuffer(b"".join(d[:2] for d in merge["digest"]), ">u2").astype(np.int64)
+            heads = (merge["d1"].to_numpy() >> np.uint64(48)).astype(np.int64)
             cuts = np.searchsorted(heads * slices >> 16, np.arange(slices + 1))
-            rows = []
-            for i in range(slices):
-                part = merge.iloc[cuts[i] : cuts[i + 1]]
-                if len(part):
-                    refs = b"".join(struct.pack("<qqi", a, b, c) for a, b, c in zip(part["s1"], part["s2"], part["low"]))
-                    rows.append((0, 0, 0, 0, i, b"".join(part["digest"]), refs))
+            rows = [(0, 0, 0, 0, i, *(merge[["d1", "d2"]].iloc[a:b].to_numpy(np.uint64).tobytes(), merge[["s1", "s2", "low"]].iloc[a:b].to_numpy(np.int64).tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             yield pd.DataFrame(rows, columns=["s1", "s2", "low", "high", "slice", "run", "refs"])
 
     return run
 
 
 def merged_repeats(runs_of_slice: pd.DataFrame) -> pd.DataFrame:
-    """Windows whose digest another shard has too; each sorted run is looked up in the others by binary search."""
-    digests = [np.frombuffer(r, ">u8").reshape(-1, 2) for r in runs_of_slice["run"]]
-    heads = [d[:, 0].astype(np.uint64) for d in digests]
-    everything = np.concatenate(digests).astype(np.uint64)
-    order = np.lexsort((everything[:, 1], everything[:, 0]))
-    ordered = everything[order]
-    rows = []
-    for own, head, refs in zip(digests, heads, runs_of_slice["refs"]):
-        low, high = np.searchsorted(ordered[:, 0], head, "left"), np.searchsorted(ordered[:, 0], head, "right")
-        for i in np.flatnonzero(high - low > 1).tolist():
-            if (ordered[low[i] : high[i], 1] == np.uint64(own[i, 1])).sum() > 1:
-                s1, s2, at = struct.unpack_from("<qqi", refs, 20 * i)
-                rows.append((s1, s2, at, at + 1))
-    return pd.DataFrame(rows, columns=["s1", "s2", "low", "high"])
+    """Windows whose digest another shard has too; each sorted run is looked up in all by binary search. A shard tells a
+    window once, so a digest that stands twice comes from two shards."""
+    own = [np.frombuffer(r, np.uint64).reshape(-1, 2) for r in runs_of_slice["run"]]
+    everything = np.concatenate(own)
+    everything = everything[np.lexsort((everything[:, 1], everything[:, 0]))]
+    again = (everything[1:] == everything[:-1]).all(axis=1)
+    twice = np.unique(everything[1:][again], axis=0)
+    found = []
+    for digests, refs in zip(own, runs_of_slice["refs"]):
+        low, high = (np.searchsorted(twice[:, 0], digests[:, 0], side) for side in ("left", "right"))
+        hit = np.zeros(len(digests), bool)
+        for step in range(int((high - low).max(initial=0))):
+            at = np.minimum(low + step, len(twice) - 1)
+            hit |= (low + step < high) & (twice[at, 1] == digests[:, 1])
+        found.append(np.frombuffer(refs, np.int64).reshape(-1, 3)[hit])
+    rows = np.concatenate(found)
+    return pd.DataFrame({"s1": rows[:, 0], "s2": rows[:, 1], "low": rows[:, 2], "high": rows[:, 2] + 1})
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -66,7 +66,8 @@ def unit_interval(*key: Column) -> Column:
 
 
 def by_group(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Regroups batches sorted by ``key`` so that no group is cut; holds one batch and one group at most."""
+    """Regroups batches sorted by ``key`` so that no group is cut: a frame has one or several
+    whole groups. Holds one batch and one group at most."""
     rest: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):

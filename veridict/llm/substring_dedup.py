@@ -169,7 +169,7 @@ def _shards(length: int, slices: int):
     binary search, for the merge."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard in by_group(batches, "shard"):
+        for shard in (own for several in by_group(batches, "shard") for _, own in several.groupby("shard")):
             shard = shard.reset_index(drop=True)
             spans, merge = shard_repeats(shard, length)
             if len(spans):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII blanks; both forms name the same set.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: A counted table up to this many bytes is sent to all executors.
+BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,6 +41,12 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured(few: DataFrame, row_bytes: int) -> DataFrame:
+    """``few`` written once and counted; marked to be broadcast if it is small, and joined by a shuffle if it is not."""
+    few = shared(few)
+    return F.broadcast(few) if few.count() * row_bytes <= BROADCAST_BYTES else few
+
+
 def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder (see :func:`shared`)."""
     shared(spark.range(1)) if spark.sparkContext.getCheckpointDir() is None else None

@@ -15,14 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridict.llm import golomb
-from veridict.llm.common import BLANK_RUN, documents, shared, whole_text
+from veridict.llm.common import BLANK_RUN, documents, measured, shared, whole_text
 
 #: Fingerprints that a partition codes at a time.
 CHUNK = 200_000
 #: Fingerprints that one owner has on average.
 PER_OWNER = 250_000
-#: A measured list of suspects up to this many bytes is sent to all executors; a longer one is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -88,8 +86,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     text = normalised(whole_text())
     prints = shared(docs.select("doc_id", F.xxhash64(text).alias("fingerprint"), F.sha2(text, 256).alias("text_sha256")))
     suspects = shared(suspect_fingerprints(prints.select("fingerprint"), prints.count()))
-    few = suspects.count() * 16 <= BROADCAST_BYTES
-    checked = docs.select("doc_id", text.alias("t")).withColumn("fingerprint", F.xxhash64("t")).join(F.broadcast(suspects) if few else suspects, "fingerprint", "left_semi")
+    checked = docs.select("doc_id", text.alias("t")).withColumn("fingerprint", F.xxhash64("t")).join(measured(suspects, 16), "fingerprint", "left_semi")
     # the whole text is the key: bytes are compared, and copies within a partition are summed up before the shuffle
     groups = checked.groupBy("t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.sha2("t", 256).alias("text_sha256"), "keep_id", "n")
     joined = prints.join(groups, "text_sha256", "left")
@@ -99,10 +96,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the copies; of rows that repeat an id and a text one stays."""
-    verdicts = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(normalised(whole_text()), 256)
-    left = docs.withColumn("__sha0", sha).join(verdicts, (F.col("__sha0") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return left.dropDuplicates(["doc_id", "__sha0"]).select(*docs.columns)
+    verdicts = shared(exact_groups(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"))
+    same = (F.col("__sha0") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    rows = docs.withColumn("__sha0", F.sha2(normalised(whole_text()), 256))
+    gone = verdicts.where(~F.col("kept")).select("__id", "__sha").distinct()
+    left = rows.join(measured(gone, 64), same, "left_anti")
+    repeated = verdicts.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
+    if not repeated.isEmpty():
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__sha0"]))
+    return left.select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

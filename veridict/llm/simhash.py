@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridict.llm import golay
-from veridict.llm.common import by_group, documents, shared, whole_text
+from veridict.llm.common import by_group, documents, measured, shared, whole_text
 
 WORDS_PER_SHINGLE = 4
 SEED = 42
@@ -164,8 +164,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near group: the one with the smallest id; of its repeated rows all stay."""
-    first = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    gone = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(measured(gone, 24), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,13 +76,13 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int:
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """doc_id, log_weight, gumbel_key, kept of the sampled documents: the ``share`` with the largest keys.
 
-    ``labels(doc_id, quality, toxic)``: good is quality 1 and not toxic. By default the share is that of the good among
-    the labelled. Null and empty texts weigh zero; rows that tie at the threshold all stay; rows with one id and text
+    ``labels(doc_id, quality, toxic)``: good is quality 1 and not toxic. By default the share is that of quality
+    1 among the labelled. Null and empty texts weigh zero; rows that tie at the threshold all stay; rows with one id and text
     have one key; other columns are ignored; without documents or labels nothing is sampled.
     """
-    judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), (F.col("quality") == 1).alias("q"))
     if share is None:
-        share = judged.agg(F.avg(F.col("good").cast("double"))).first()[0] or 0.0
+        share = judged.agg(F.avg(F.col("q").cast("double"))).first()[0] or 0.0
     good_ids = judged.where("good").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, good_ids))
 

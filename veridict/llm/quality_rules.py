@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veridict.llm.common import documents, whole_text, word_array
 
 #: Rows of the sample on which costs and selectivities are estimated; the verdict does not depend on it.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 500
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: Limits of the cascade's own rules, beside the two base rules.
@@ -126,7 +126,9 @@ class Estimate:
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and selectivity of each rule on the first ``rows`` rows met, best rejection per cost first."""
-    sample = docs.select(whole_text().alias("t")).limit(rows).withColumn("w", word_array(F.col("t"))).cache()
+    # head() reads partitions until it has so many rows; limit() within a plan would begin every partition
+    texts = docs.select(whole_text().alias("t")).head(rows)
+    sample = docs.sparkSession.createDataFrame(texts, "t string").withColumn("w", word_array(F.col("t"))).cache()
     try:
         n = max(1, sample.count())
         found = []

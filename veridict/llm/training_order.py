@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -126,24 +127,28 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, own = _tokenizer(path)._core_bpe.encode_ordinary, TaskContext.get().partitionId()
+        stride, filling = 2 * tokens, np.full(tokens, FILL, "<u2").tobytes()
         number, check = known.value[0].get(own, 0), 0
         for batch in batches:
-            for low in range(0, len(batch), 200):
-                ids, parts, had, payload = [], [], [], []
-                for doc_id, text in zip(batch["doc_id"].iloc[low : low + 200], batch["text"].iloc[low : low + 200]):
+            for low in range(0, len(batch), 1000):
+                some = batch.iloc[low : low + 1000]
+                counts, had, payload = [], [], []
+                for text in some["text"]:
                     found = encode(text)
-                    check = (check * 1000003 + len(found)) & 0x7FFFFFFF
-                    data = np.full(-(-len(found) // tokens) * tokens, FILL, "<u2")
-                    data[: len(found)] = found
-                    data = data.tobytes()
-                    for part, a in enumerate(range(0, len(found), tokens)):
-                        ids.append(None if pd.isna(doc_id) else int(doc_id))
-                        parts.append(part)
-                        had.append(min(tokens, len(found) - a))
-                        payload.append(data[2 * a : 2 * (a + tokens)])
-                slots = order.slots(np.arange(number, number + len(ids), dtype=np.uint64))
-                number += len(ids)
-                yield pd.DataFrame({"slot": slots, "doc_id": pd.array(ids, "Int64"), "part": parts, "n_tokens": had, "payload": payload})
+                    n = len(found)
+                    check = (check * 1000003 + n) & 0x7FFFFFFF
+                    sequences = -(-n // tokens)
+                    data = array("H", found).tobytes() + filling[: 2 * (sequences * tokens - n)]
+                    counts.append(sequences)
+                    if sequences:
+                        had += [tokens] * (sequences - 1)
+                        had.append(n - (sequences - 1) * tokens)
+                        payload += [data[a : a + stride] for a in range(0, len(data), stride)]
+                firsts = np.cumsum(counts) - counts
+                slots = order.slots(np.arange(number, number + len(had), dtype=np.uint64))
+                number += len(had)
+                parts = np.arange(len(had)) - np.repeat(firsts, counts)
+                yield pd.DataFrame({"slot": slots, "doc_id": some["doc_id"].astype("Int64").repeat(counts).array, "part": parts, "n_tokens": np.array(had, np.int64), "payload": pd.Series(payload, dtype=object)})
         if check != known.value[1].get(own, 0):
             raise RuntimeError("the input's partitions changed between two reads")
 

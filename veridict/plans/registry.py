@@ -1,4 +1,9 @@
 """Registry of the engine's queries and of the SQL that checks them."""
 
+from veridict.plans import auditing, scoring
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (scoring, auditing):
+    QUERIES |= module.Q
+    ORACLES |= module.O

@@ -167,18 +167,24 @@ def _text(x: Column) -> Column:
     return x.cast("string")
 
 
+def _once(value: Column) -> Column:
+    """The value, marked as not to be copied: an optimiser that pushes a filter on it (as a generator over it brings)
+    through the stages would else write out each stage wherever a later one reads it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def check(rows: DataFrame, claim: str = "claim", pack: str = "pack") -> DataFrame:
     """Adds ``checks``. Stages are columns of their own, so that each is computed once per row."""
     c = F.coalesce(F.col(claim), F.lit(""))
-    out = rows.withColumn("__c", c).withColumn("__m", measures(F.col(pack))).withColumn("__series", series(F.col(pack)))
-    out = out.withColumn("__subject", F.trim(F.regexp_extract("__c", SUBJECT, 1)))
+    out = rows.withColumn("__c", c).withColumn("__m", _once(measures(F.col(pack)))).withColumn("__series", _once(series(F.col(pack))))
+    out = out.withColumn("__subject", _once(F.trim(F.regexp_extract("__c", SUBJECT, 1))))
     c, m, subject = F.col("__c"), F.col("__m"), F.col("__subject")
     guessed = F.filter(m, lambda x: _hinted(x["label"], METHOD_HINTS) & ~_hinted(x["label"], BASELINE_HINTS))
-    out = out.withColumn("__own", _or_else(F.filter(m, lambda x: is_subject(x["label"], subject)), guessed))
+    out = out.withColumn("__own", _once(_or_else(F.filter(m, lambda x: is_subject(x["label"], subject)), guessed)))
     own = F.col("__own")
     rest = F.filter(m, lambda x: ~F.exists(own, lambda s: s["at"] == x["at"]))
-    out = out.withColumn("__rest", rest).withColumn("__base", _or_else(F.filter("__rest", lambda x: _hinted(x["label"], BASELINE_HINTS)), F.col("__rest")))
-    out = out.withColumn("__named", _named(m, c, subject)).withColumn("__nseries", _named(F.col("__series"), c, subject))
+    out = out.withColumn("__rest", _once(rest)).withColumn("__base", _once(_or_else(F.filter("__rest", lambda x: _hinted(x["label"], BASELINE_HINTS)), F.col("__rest"))))
+    out = out.withColumn("__named", _once(_named(m, c, subject))).withColumn("__nseries", _once(_named(F.col("__series"), c, subject)))
     base = F.col("__base")
     mine, other = F.get(own, F.lit(0)), F.get(base, F.lit(0))
     pair = F.array(mine, other)
@@ -212,7 +218,7 @@ def check(rows: DataFrame, claim: str = "claim", pack: str = "pack") -> DataFram
     use_series = F.size("__nseries") > 0
     pool = F.when(use_series, F.col("__series")).otherwise(m)
     ranked = F.when(use_series, F.col("__nseries")).otherwise(F.col("__named"))
-    out = out.withColumn("__pool", pool).withColumn("__ranked", ranked)
+    out = out.withColumn("__pool", _once(pool)).withColumn("__ranked", _once(ranked))
     top = F.get("__ranked", F.lit(0))
     rivals = F.filter("__pool", lambda x: x["at"] != top["at"])
     word = F.lower(group(ORDINAL, 1))
@@ -243,7 +249,7 @@ def check(rows: DataFrame, claim: str = "claim", pack: str = "pack") -> DataFram
     relative = F.when(c.rlike(PCT_GAIN), F.when(~has_pair, _unknown(group(PCT_GAIN, 0), "the pack has no method and baseline")).when(share.isNull(), _unknown(group(PCT_GAIN, 0), "a share of zero is not defined", _eids(pair))).otherwise(_judged(group(PCT_GAIN, 0), F.abs(share - number(PCT_GAIN)) < TOLERANCE, F.format_string("the gain is %.2f%%", share), F.format_string("the gain is %.2f%%, not as claimed", share), _eids(pair))))
 
     checks = F.filter(F.array(direct, compare, all_any, best, mean_check, absolute, relative), lambda x: x.isNotNull())
-    return out.withColumn("checks", checks).select(*rows.columns, "checks", F.col("__m").alias("measures"), F.col("__series").alias("series"))
+    return out.withColumn("checks", _once(checks)).select(*rows.columns, "checks", F.col("__m").alias("measures"), F.col("__series").alias("series"))
 
 
 def brief(checks: Column) -> Column:

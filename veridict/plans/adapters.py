@@ -42,7 +42,7 @@ NUMBERS = {"three": "SELECT id AS range FROM range(3)"}
 
 
 def names_in(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\[(\w+)\]", sql)))
+    return list(dict.fromkeys(re.findall(r"\[([a-z]\w*)\]", sql)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    return spark.sql(re.sub(r"\[(\w+)\]", r"{\1}", sql), **{n: view(spark, sf_dir, n) for n in names_in(sql)})
+    return spark.sql(re.sub(r"\[([a-z]\w*)\]", r"{\1}", sql), **{n: view(spark, sf_dir, n) for n in names_in(sql)})
 
 
 def oracle(body: str) -> str:
@@ -71,7 +71,7 @@ def oracle(body: str) -> str:
 
     for n in names_in(body):
         add(n)
-    plain = lambda s: re.sub(r"\[(\w+)\]", r"\1", s)
+    plain = lambda s: re.sub(r"\[([a-z]\w*)\]", r"\1", s)
     heads = ", ".join(f"{n} AS ({plain(s)})" for n, s in parts.items())
     body = plain(body).strip()
     if not heads:

@@ -44,20 +44,28 @@ MEASURE = "struct<label:string,value:double,eid:string,lower:boolean,at:int>"
 RESULT = "struct<claim_fragment:string,status:string,reason:string,eids:array<string>>"
 
 
-def polarity(*texts: Column) -> Column:
-    """Whether less is better: an explicit marker first, then a metric's name; null if nothing tells."""
-    texts = [F.coalesce(t, F.lit("")) for t in texts]
-    out = F
-    for t in texts:
-        out = out.when(t.rlike(LOWER_MARKER), True).when(t.rlike(HIGHER_MARKER), False)
-    for t in texts:
-        out = out.when(t.rlike(LOWER_METRICS), True)
-    return out.otherwise(F.lit(None).cast("boolean"))
-
-
-def _measure(label: Column, value: Column, eid: Column, *context: Column) -> Column:
+def _marker(text: Column) -> Column:
+    return F.when(text.rlike(LOWER_MARKER), True).when(text.rlike(HIGHER_MARKER), False)
+
+
+def _direction_of(text: Column) -> Column:
+    """struct(marker, metric) of a text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(_marker(text).alias("marker"), text.rlike(LOWER_METRICS).alias("metric"))
+
+
+def polarity(*known: Column) -> Column:
+    """Whether less is better, from the texts' :func:`_direction_of`: an explicit marker first, then a metric's name;
+    null if nothing tells."""
+    any_metric = known[0]["metric"]
+    for k in known[1:]:
+        any_metric = any_metric | k["metric"]
+    return F.coalesce(*[k["marker"] for k in known], F.when(any_metric, True))
+
+
+def _measure(label: Column, value: Column, eid: Column, *known: Column) -> Column:
     name = F.trim(label)
-    return F.struct(name.alias("label"), value.cast("double").alias("value"), eid.alias("eid"), polarity(*context, name).alias("lower"), F.lit(0).alias("at"))
+    return F.struct(name.alias("label"), value.cast("double").alias("value"), eid.alias("eid"), polarity(*known, _direction_of(name)).alias("lower"), F.lit(0).alias("at"))
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -70,13 +78,18 @@ def measures(pack: Column) -> Column:
 
     def of_unit(u: Column) -> Column:
         text, eid = F.coalesce(u["text"], F.lit("")), F.coalesce(u["eid"], F.lit("?"))
-        pairs = F.zip_with(_all(text, PAIR, 1), _all(text, PAIR, 2), lambda a, b: _measure(a, b, eid, text))
-        left = F.zip_with(_all(text, VS_PAIR, 1), _all(text, VS_PAIR, 2), lambda a, b: _measure(a, b, eid, text))
-        right = F.zip_with(_all(text, VS_PAIR, 3), _all(text, VS_PAIR, 4), lambda a, b: _measure(a, b, eid, text))
-        versus = F.flatten(F.zip_with(left, right, lambda a, b: F.array(a, b)))
-        numbers = F.filter(F.coalesce(u["normalized_numbers"], F.array()), lambda n: n["value"].isNotNull())
-        declared = F.transform(numbers, lambda n: _measure(F.coalesce(n["context"], F.lit("")), n["value"], eid, n["unit"], text))
-        return F.concat(pairs, versus, declared)
+
+        def found(known: Column) -> Column:
+            pairs = F.zip_with(_all(text, PAIR, 1), _all(text, PAIR, 2), lambda a, b: _measure(a, b, eid, known))
+            left = F.zip_with(_all(text, VS_PAIR, 1), _all(text, VS_PAIR, 2), lambda a, b: _measure(a, b, eid, known))
+            right = F.zip_with(_all(text, VS_PAIR, 3), _all(text, VS_PAIR, 4), lambda a, b: _measure(a, b, eid, known))
+            versus = F.flatten(F.zip_with(left, right, lambda a, b: F.array(a, b)))
+            numbers = F.filter(F.coalesce(u["normalized_numbers"], F.array()), lambda n: n["value"].isNotNull())
+            declared = F.transform(numbers, lambda n: _measure(F.coalesce(n["context"], F.lit("")), n["value"], eid, _direction_of(n["unit"]), known))
+            none = F.array().cast(f"array<{MEASURE}>")
+            return F.concat(pairs, F.when(text.rlike(VS_PAIR), versus).otherwise(none), declared)
+
+        return _let(_direction_of(text), found)
 
     same = lambda a, b: (F.lower(a["label"]) == F.lower(b["label"])) & (a["value"] == b["value"]) & (a["eid"] == b["eid"])
 
@@ -94,7 +107,7 @@ def series(pack: Column) -> Column:
         text = F.coalesce(u["text"], F.lit(""))
         head, values = F.regexp_extract(text, SERIES_HEAD, 1), F.transform(_all(text, PAIR, 2), lambda v: v.cast("double"))
         mean = F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values), 6)
-        row = F.struct(F.trim(F.element_at(F.split(head, ","), 1)).alias("label"), mean.alias("value"), F.coalesce(u["eid"], F.lit("?")).alias("eid"), polarity(text, head).alias("lower"), i.alias("at"))
+        row = F.struct(F.trim(F.element_at(F.split(head, ","), 1)).alias("label"), mean.alias("value"), F.coalesce(u["eid"], F.lit("?")).alias("eid"), polarity(_direction_of(text), _direction_of(head)).alias("lower"), i.alias("at"))
         return F.when(text.rlike(SERIES_HEAD) & (F.size(values) >= 2), row)
 
     return F.filter(F.transform(F.coalesce(pack, F.array()), of_unit), lambda x: x.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridict.functions.text import ascii_tokens
+from veridict.sources.tables import shared
 
 K1, B = 1.5, 0.75
 
@@ -20,9 +21,10 @@ def bm25(queries: DataFrame, units: DataFrame, top_k: int = 3, k1: float = K1, b
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     asked = queries.select("instance_id", ascii_tokens(F.col("text")).alias("asked"))
-    sized = units.select("instance_id", "ordinal", ascii_tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-    packs = sized.groupBy("instance_id").agg(F.count(F.lit(1)).alias("units"), F.avg("length").alias("mean"))
-    relevant = sized.join(asked, "instance_id").select("instance_id", "ordinal", "length", F.filter("tokens", lambda t: F.array_contains("asked", t)).alias("tokens"))
+    sized = units.select("instance_id", "ordinal", "text").join(asked, "instance_id").withColumn("tokens", ascii_tokens(F.col("text")))
+    # texts are read and cut into words once; what is kept of them is the length and the query's words
+    relevant = shared(sized.select("instance_id", "ordinal", F.size("tokens").alias("length"), F.filter("tokens", lambda t: F.array_contains("asked", t)).alias("tokens")))
+    packs = relevant.groupBy("instance_id").agg(F.count(F.lit(1)).alias("units"), F.avg("length").alias("mean"))
     found = relevant.select("instance_id", "ordinal", "length", F.explode("tokens").alias("term")).groupBy("instance_id", "ordinal", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = found.groupBy("instance_id", "term").agg(F.count(F.lit(1)).alias("df"))
     qtf = asked.select("instance_id", F.explode("asked").alias("term")).groupBy("instance_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -30,7 +32,7 @@ def bm25(queries: DataFrame, units: DataFrame, top_k: int = 3, k1: float = K1, b
     idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scores = found.join(stats, ["instance_id", "term"]).groupBy("instance_id", "ordinal").agg(F.sum(part).alias("score"))
-    scored = sized.join(asked, "instance_id").select("instance_id", "ordinal").join(scores, ["instance_id", "ordinal"], "left").select("instance_id", "ordinal", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    scored = relevant.select("instance_id", "ordinal").join(scores, ["instance_id", "ordinal"], "left").select("instance_id", "ordinal", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
     place = F.row_number().over(Window.partitionBy("instance_id").orderBy(F.desc("score"), "ordinal"))
     return scored.withColumn("place", place).where(F.col("place") <= top_k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veridict.functions import text as tx
 from veridict.operators import ensemble, prediction, retrieval
 from veridict.plans.adapters import oracle, view
+from veridict.sources.tables import spread
 
 
 Q, O = {}, {}
@@ -45,7 +46,7 @@ query("p11_rule_model", ["pack"], lambda p: prediction.rule_predictor(p.groupBy(
 query("p12_prompt", ["orders"], lambda o: o.select("o_orderkey", prediction.prompt(F.col("o_orderpriority"), F.array(F.struct(F.lit("e1").alias("eid"), F.col("o_orderstatus").alias("text")), F.struct(F.lit("e2").alias("eid"), F.lit("b").alias("text")))).alias("p")).select("o_orderkey", prediction.parse_prompt(F.col("p")).alias("x")).select("o_orderkey", "x.claim", F.array_join("x.eids", ",").alias("eids")), "SELECT o_orderkey, o_orderpriority AS claim, 'e1,e2' AS eids FROM orders")
 # --- retrieval ---
 UNITS = "SELECT b.item_id AS instance_id, d.doc_id AS ordinal, d.text FROM {documents} d JOIN {benchmark} b ON d.doc_id % (SELECT count(*) FROM {benchmark}) = b.item_id"
-query("w7_bm25_topk", ["benchmark", "documents"], lambda b, d: retrieval.bm25(b.selectExpr("item_id AS instance_id", "text"), b.sparkSession.sql(UNITS, benchmark=b, documents=d)).withColumn("place", F.col("place").cast("long")),
+query("w7_bm25_topk", ["benchmark", "documents"], lambda b, d: retrieval.bm25(b.selectExpr("item_id AS instance_id", "text"), b.sparkSession.sql(UNITS, benchmark=b, documents=spread(d))).withColumn("place", F.col("place").cast("long")),
       f"""WITH units AS ({UNITS.format(benchmark='benchmark', documents='documents')}), t AS (SELECT instance_id, ordinal, regexp_extract_all(lower(text), '[a-zA-Z0-9_]+') AS w FROM units), s AS (SELECT instance_id, count(*) AS n, avg(len(w)) AS mean FROM t GROUP BY instance_id),
       q AS (SELECT item_id AS instance_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS term FROM benchmark), tf AS (SELECT instance_id, ordinal, len(w) AS length, term, count(*) AS tf FROM (SELECT instance_id, ordinal, w, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT instance_id, term, count(*) AS df FROM tf GROUP BY ALL),
       sc AS (SELECT tf.instance_id, tf.ordinal, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / mean))) AS score FROM q JOIN tf ON q.instance_id = tf.instance_id AND q.term = tf.term JOIN df ON df.instance_id = tf.instance_id AND df.term = tf.term JOIN s ON s.instance_id = tf.instance_id GROUP BY 1, 2),

@@ -8,6 +8,7 @@ from veridict.functions import text as tx
 from veridict.operators import construction as con
 from veridict.operators import leakage, numeric, validation
 from veridict.plans.adapters import oracle, view
+from veridict.sources.tables import spread
 
 Q, O = {}, {}
 
@@ -129,7 +130,7 @@ LINES = "SELECT l_orderkey AS instance_id, l_linenumber AS line, l_partkey AS pa
 
 
 def lines(x):
-    own = x.sparkSession.sql(LINES, lineitem=x)
+    own = spread(x.sparkSession.sql(LINES, lineitem=x))
     text = F.concat(F.lit("Method X = "), F.col("q").cast("string"), F.lit(", Baseline = "), F.col("b").cast("string"))
     unit = F.struct(F.lit("e1").alias("eid"), text.alias("text"), F.lit(None).cast("array<struct<value:double,unit:string,context:string>>").alias("normalized_numbers"))
     return own.withColumn("claim", F.expr(CLAIM)).withColumn("pack", F.array(unit))

@@ -20,3 +20,15 @@ def shared(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veridict-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Estimated bytes a core up to which an input counts as small.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt to all cores (one small file is one task, whatever the work on its rows). What is larger is
+    left as it is, so nothing is shuffled at scale. The estimate is the optimiser's; nothing is run for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= cores * SMALL else df

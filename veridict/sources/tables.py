@@ -30,5 +30,5 @@ def spread(df: DataFrame) -> DataFrame:
     """A small input dealt to all cores (one small file is one task, whatever the work on its rows). What is larger is
     left as it is, so nothing is shuffled at scale. The estimate is the optimiser's; nothing is run for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= cores * SMALL else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veridict.operators import evaluation as ev
 from veridict.operators import selective as sel
 from veridict.plans.adapters import oracle, view
@@ -65,7 +67,7 @@ query(
       round((CAST(0.3 AS DOUBLE) * verdict_f1 + CAST(0.2 AS DOUBLE) * evidence_f1 + CAST(0.15 AS DOUBLE) * issue_f1 + CAST(0.15 AS DOUBLE) * safety + CAST(0.1 AS DOUBLE) * calibration) / CAST(0.9 AS DOUBLE), 6) AS composite FROM t""",
 )
 query("a15_systems", ["pred"], ev.systems, "SELECT DISTINCT model FROM [pred]")
-query("a16_dedupe", ["lineitem"], lambda x: ev.keep_one(x.selectExpr("l_orderkey AS instance_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), __import__("pyspark").sql.functions.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "SELECT l_orderkey AS instance_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, count(*) OVER (PARTITION BY l_orderkey) AS copies FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1")
+query("a16_dedupe", ["lineitem"], lambda x: ev.keep_one(x.selectExpr("l_orderkey AS instance_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "SELECT l_orderkey AS instance_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, count(*) OVER (PARTITION BY l_orderkey) AS copies FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1")
 query("a17_gate", ["gold", "submitted"], ev.gate, "WITH m AS (SELECT count(*) AS missing FROM [gold] g WHERE g.instance_id NOT IN (SELECT instance_id FROM [submitted])) SELECT missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS invalid, missing = 0 AS scoreable FROM m")
 query("w1_rank", ["gold", "pred"], lambda g, p: sel.rank(sel.units(g, p)), f"WITH {UNITS} SELECT instance_id, answered, error, severe, row_number() OVER (ORDER BY answered DESC, confidence DESC, instance_id) AS place FROM units")
 query("w2_ties", ["gold", "pred"], lambda g, p: sel.groups(sel.units(g, p)).where("answered").select("confidence", "size", "before_size"), f"WITH {UNITS}, t AS (SELECT confidence, count(*) AS size FROM units WHERE answered GROUP BY confidence) SELECT confidence, size, CAST(coalesce(sum(size) OVER (ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_size FROM t")

@@ -17,8 +17,9 @@ from veridict.llm.common import documents, shared, table, whole_text
 BUCKETS = 1 << 18
 #: The good model is fitted on at most so many labelled good documents, those with the smallest hashes of their ids.
 MOST_LABELLED = 100_000
-#: Counts by which a ratio is drawn to one, and the log ratio up to which it is taken as one.
-PRIOR, DEAD = 20.0, 0.35
+#: Counts by which a ratio is drawn to one, and the log ratio up to which it is taken as one: smaller ones are mostly
+#: chance, and add up to more than the few words that tell, the longer a text is.
+PRIOR, DEAD = 20.0, 1.2
 
 
 def buckets(text: bytes) -> np.ndarray:

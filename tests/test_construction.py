@@ -105,3 +105,19 @@ def test_closed_form_equals_refitting(spark):
         want[i] = best[1]
     got = leakage.leave_one_out_bayes(spark.createDataFrame(data, "instance_id int, label string, text string"))
     assert {r["instance_id"]: r["predicted"] for r in got.collect()} == want
+
+
+def test_student_half(spark):
+    make = lambda rows: spark.createDataFrame(rows, "path string, j string").select("path", F.parse_json("j").alias("document"))
+    clean = [("d/inputs.jsonl", '{"instance_id": "a", "evidence_pack": [{"eid": "e1"}]}'), ("d/inputs.jsonl", '{"instance_id": "b", "evidence_pack": []}')]
+    assert validation.exit_code(validation.student_half_problems(make(clean))) == 0
+    bad = [("d/x.json", '{"review": {"reviewer": "r"}}'), ("d/gold.jsonl", '{"instance_id": "a"}')]
+    got = {r["problem"] for r in validation.student_half_problems(make(bad)).collect()}
+    assert got == {"gold file", "private word at $.review", "private word at $.review.reviewer", "no inputs"}
+
+
+def test_only_scored_runs_are_compared(spark):
+    row = "SELECT {} AS scoreable, 0.5 AS accuracy, 0.5 AS macro_f1, 0.5 AS evidence_f1, 0.5 AS sfwr, 1.0 AS coverage, 0.5 AS augrc, 1 AS answered, 1 AS total"
+    assert ensemble.comparison_row(spark.sql(row.format("true")), "s", 0).count() == 1
+    with pytest.raises(PySparkException, match="cannot be scored"):
+        ensemble.comparison_row(spark.sql(row.format("false")), "s", 0).collect()

@@ -44,6 +44,13 @@ def rule_counts(emitted: DataFrame) -> DataFrame:
     return emitted.select(F.explode("fired").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def comparison_row(scored: DataFrame, system: str, repeat: int) -> DataFrame:
+    """The figures of one scored run for a comparison; the job fails where the run could not be scored."""
+    good = F.assert_true("scoreable", F.lit(f"{system}: the submission cannot be scored"))
+    checked = scored.withColumn("bad", good).where("bad IS NULL")
+    return checked.select(F.lit(system).alias("system"), F.lit(repeat).alias("pass"), "accuracy", "macro_f1", "evidence_f1", "sfwr", "coverage", "augrc", "answered", "total")
+
+
 def repeat_medians(runs: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """``runs(system, pass, metrics...)`` to median, smallest, largest and all values per system and metric."""
     long = runs.unpivot(["system", "pass"], list(metrics), "metric", "value")

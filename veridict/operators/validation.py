@@ -55,7 +55,7 @@ def scan_by_profile(files: DataFrame) -> DataFrame:
     allowed = F
     for name, keys in PROFILES.items():
         allowed = allowed.when(F.col("profile") == name, F.array(*[F.lit(k) for k in keys]).cast("array<string>"))
-    joined = hits.join(profiled.select(F.col("path").alias("id"), "profile"), "id")
+    joined = hits.join(profiled.select(F.col("path").alias("id"), "profile").distinct(), "id")
     return joined.where(~((F.col("hit") == "key") & F.array_contains(allowed.otherwise(F.array().cast("array<string>")), leaf)))
 
 
@@ -130,6 +130,16 @@ def prediction_violations(preds: DataFrame, inputs: DataFrame) -> DataFrame:
     return unknown.unionByName(outside).unionByName(late).unionByName(missing)
 
 
+def student_half_problems(files: DataFrame) -> DataFrame:
+    """``files(path, document)`` of what participants get: (problem, path) for gold files, private words, and no inputs."""
+    name = F.element_at(F.split("path", "/"), -1)
+    gold = files.where(F.lower(name).contains("gold")).select(F.lit("gold file").alias("problem"), "path").distinct()
+    hits = scan_by_profile(files.withColumn("path", F.concat(F.lit("inputs/"), name))).select(F.concat(F.lit("private word at "), "path").alias("problem"), F.col("id").alias("path"))
+    inputs = files.where(F.try_variant_get("document", "$.evidence_pack", "variant").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    none = inputs.where("n = 0").select(F.lit("no inputs").alias("problem"), F.lit("").alias("path"))
+    return gold.unionByName(hits).unionByName(none)
+
+
 def exit_code(violations: DataFrame) -> int:
     """0 where there are none, 1 otherwise."""
     return 0 if violations.isEmpty() else 1

@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veridict.llm.common import documents, whole_text
 

@@ -27,17 +27,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that a lost executor costs no recomputation of it.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the shared folder: the cluster's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veridict-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, so that a lost executor costs no recomputation of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -47,12 +50,6 @@ def measured(few: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(few) if few.count() * row_bytes <= BROADCAST_BYTES else few
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the shared folder (see :func:`shared`)."""
-    shared(spark.range(1)) if spark.sparkContext.getCheckpointDir() is None else None
-    return spark.sparkContext.getCheckpointDir()
-
-
 def whole_text(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

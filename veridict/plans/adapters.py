@@ -33,7 +33,7 @@ VIEWS = {
         CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'contradicted' WHEN l_returnflag = 'N' THEN 'warranted' ELSE 'insufficient' END AS verdict,
         1 - l_discount AS confidence, l_suppkey % 4 = 0 AS no_eids FROM [lineitem]""",
     "labelled": """SELECT l.doc_id AS instance_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'warranted' WHEN l.quality = 1 THEN 'overclaimed' WHEN l.toxic = 0 THEN 'insufficient' ELSE 'contradicted' END AS label,
-        lower(substr(d.text, 1, 120)) AS text FROM [labels] l JOIN [documents] d ON l.doc_id = d.doc_id""",
+        lower(d.text) AS text FROM [labels] l JOIN [documents] d ON l.doc_id = d.doc_id""",
     "runs": """SELECT concat('system', CAST(s.range AS STRING)) AS system, r.range AS pass, p.instance_id, p.verdict, g.verdict AS gold, p.confidence
         FROM [pred] p JOIN [gold] g ON p.instance_id = g.instance_id CROSS JOIN [three] s CROSS JOIN [three] r WHERE (p.instance_id + s.range * 7 + r.range * 3) % 4 <> s.range""",
 }

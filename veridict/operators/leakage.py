@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,50 +146,100 @@ def best_split(long: DataFrame, labels: DataFrame, classes: tuple[str, ...], min
     return fit.select("name", ((F.col("value") + F.col("next")) / 2).alias("threshold"), gain.alias("gain")).where("gain > 1e-12").orderBy(F.desc("gain"), "name", "threshold").limit(1)
 
 
-def _grow(rows: list[dict], labels: list[str], names: list[str], depth: int):
-    """A small tree; a leaf is its most frequent label, the one met first on ties."""
-    best = None
-    if depth > 0 and len(set(labels)) > 1 and len(rows) >= 2 * MIN_LEAF:
-        impurity = lambda part: 1.0 - sum((k / len(part)) ** 2 for k in Counter(part).values())
-        for name in names:
-            order = sorted(range(len(rows)), key=lambda i: rows[i].get(name, 0.0))
-            values = [rows[i].get(name, 0.0) for i in order]
-            for cut in range(MIN_LEAF, len(rows) - MIN_LEAF + 1):
-                if values[cut - 1] < values[cut]:
-                    low, high = [labels[i] for i in order[:cut]], [labels[i] for i in order[cut:]]
-                    gain = impurity(labels) - (len(low) * impurity(low) + len(high) * impurity(high)) / len(rows)
-                    if gain > 1e-12 and (best is None or gain > best[0]):
-                        best = (gain, name, (values[cut - 1] + values[cut]) / 2)
-    if best is None:
-        return Counter(labels).most_common(1)[0][0]
-    _, name, threshold = best
-    side = [r.get(name, 0.0) <= threshold for r in rows]
-    pick = lambda want: ([r for r, s in zip(rows, side) if s == want], [x for x, s in zip(labels, side) if s == want])
-    return name, threshold, _grow(*pick(True), names, depth - 1), _grow(*pick(False), names, depth - 1)
+class _Side:
+    """Rows on one side of the splits so far: class counts by feature value, from which single rows can be taken off."""
+
+    def __init__(self, features: np.ndarray, classes: np.ndarray, n_classes: int, members: np.ndarray):
+        self.members, self.classes, self.totals = members, classes, np.bincount(classes[members], minlength=n_classes)
+        self.cells = []
+        for column in features[:, members]:
+            values, place = np.unique(column, return_inverse=True)
+            counts = np.zeros((len(values), n_classes), np.int64)
+            np.add.at(counts, (place, classes[members]), 1)
+            self.cells.append((values, np.cumsum(counts, axis=0)))
+
+    def leaf(self, own: np.ndarray) -> int:
+        """The most frequent class without the rows ``own``; of several, the one met first."""
+        left = self.totals - np.bincount(self.classes[own], minlength=len(self.totals))
+        tied = np.flatnonzero(left == left.max())
+        if len(tied) == 1:
+            return int(tied[0])
+        first = lambda c: next(i for i in self.members if self.classes[i] == c and i not in own)
+        return int(min(tied, key=first))
+
+    def split(self, features: np.ndarray, own: np.ndarray) -> tuple[int, float] | None:
+        """(feature, threshold) of the greatest gain without the rows ``own``. Gains that doubles cannot tell apart are
+        compared as fractions; ties go to the first feature, then the lowest threshold."""
+        total = self.totals - np.bincount(self.classes[own], minlength=len(self.totals))
+        n = int(total.sum())
+        if n < 2 * MIN_LEAF or np.count_nonzero(total) < 2:
+            return None
+        base = (total * total).sum() / n
+        found = []
+        for f, (values, cells) in enumerate(self.cells):
+            low = cells.copy()
+            for i in own:
+                low[np.searchsorted(values, features[f, i]) :, self.classes[i]] -= 1
+            size = low.sum(axis=1)
+            there = np.diff(size, prepend=0) > 0
+            values, low, size = values[there], low[there], size[there]
+            at = np.flatnonzero((size >= MIN_LEAF) & (n - size >= MIN_LEAF))
+            high = total - low[at]
+            gain = ((low[at] ** 2).sum(axis=1) / size[at] + (high**2).sum(axis=1) / (n - size[at]) - base) / n
+            if len(at) and gain.max() > 1e-12:
+                for k in np.flatnonzero(gain >= gain.max() - 1e-12):
+                    j = at[k]
+                    found.append((gain[k], f, float((values[j] + values[j + 1]) / 2), low[j].tolist(), high[k].tolist()))
+        if not found:
+            return None
+        most = max(g for g, *_ in found)
+        near = [x for x in found if x[0] >= most - 1e-12]
+        exact = lambda x: Fraction(sum(k * k for k in x[3]), sum(x[3])) + Fraction(sum(k * k for k in x[4]), sum(x[4]))
+        best = near[0] if len(near) == 1 else max(near, key=exact)
+        return best[1], best[2]
 
 
 def leave_one_out_tree(long: DataFrame, labels: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """Prediction of each row by a tree of all the others; a fold is a task's unit, the features are read by all."""
-    table: dict = {}
-    for r in long.collect():  # an audit set's features
-        table.setdefault(r["instance_id"], {})[r["name"]] = r["value"]
-    order = [(r["instance_id"], r["label"]) for r in labels.select("instance_id", "label").orderBy("instance_id").collect()]
-    names = sorted({n for row in table.values() for n in row})
-    known = labels.sparkSession.sparkContext.broadcast((table, order, names))
+    """Prediction of each row by a tree of all the others; a fold is a task's unit, the features are read by all.
+
+    The tree is not fitted anew: class counts by feature value are made once for each side of a split, the fold's own
+    row is taken off them, and only the side that it falls on is split further.
+    """
+    order = labels.select("instance_id", "label").orderBy("instance_id").toPandas()
+    table = long.select("instance_id", "name", "value").toPandas()  # an audit set's features
+    names, column = np.unique(table["name"].to_numpy(str), return_inverse=True)
+    every = pd.Index(order["instance_id"].unique())
+    place = every.get_indexer(table["instance_id"])
+    values = np.zeros((len(names), len(every)))
+    values[column[place >= 0], place[place >= 0]] = table["value"].to_numpy(float)[place >= 0]
+    classes, kinds = pd.factorize(order["label"])
+    known = labels.sparkSession.sparkContext.broadcast((every, every.get_indexer(order["instance_id"]), values, classes, list(kinds)))
 
     def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows_, order_, names_ = known.value
+        every_, row_of, by_id, classes_, kinds_ = known.value
+        features, sides = by_id[:, row_of], {}
+
+        def guess(own: np.ndarray) -> str | None:
+            if len(own) == len(row_of):
+                return None
+            path = ()
+            for level in range(depth + 1):
+                if path not in sides:
+                    inside = np.ones(len(row_of), bool)
+                    for f, threshold, low in path:
+                        inside &= (features[f] <= threshold) == low
+                    sides[path] = _Side(features, classes_, len(kinds_), np.flatnonzero(inside))
+                best = sides[path].split(features, own) if level < depth else None
+                if best is None:
+                    return kinds_[sides[path].leaf(own)]
+                path += ((*best, bool(features[best[0], own[0]] <= best[1])),)
+
+        starts = np.searchsorted(row_of, np.arange(len(every_) + 1))
         for batch in batches:
-            out = []
-            for own in batch["instance_id"]:
-                rest = [(i, x) for i, x in order_ if i != own]
-                node = _grow([rows_.get(i, {}) for i, _ in rest], [x for _, x in rest], names_, depth) if rest else None
-                while isinstance(node, tuple):
-                    node = node[2] if rows_.get(own, {}).get(node[0], 0.0) <= node[1] else node[3]
-                out.append(node)
-            yield batch.assign(predicted=out)
-
-    return labels.select("instance_id", "label").repartition(8).mapInPandas(folds, labels.select("instance_id", "label").schema.add("predicted", "string"))
+            at = every_.get_indexer(batch["instance_id"])
+            yield batch.assign(predicted=[guess(np.arange(starts[i], starts[i + 1])) for i in at])
+
+    return labels.select("instance_id", "label").repartition(max(8, labels.sparkSession.sparkContext.defaultParallelism)).mapInPandas(folds, labels.select("instance_id", "label").schema.add("predicted", "string"))
 
 
 def adjacent_equal(rows: DataFrame) -> DataFrame:

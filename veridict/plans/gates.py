@@ -112,7 +112,7 @@ query("a24_best_split", ["labels", "documents", "labelled"], lambda a, d, x: lea
       c AS (SELECT name, value, {', '.join(f"CAST(count(*) FILTER (label = '{c}') AS DOUBLE) AS c{i}" for i, c in enumerate(CLASSES))} FROM v GROUP BY name, value),
       w AS (SELECT name, value, lead(value) OVER o AS nxt, {', '.join(f'sum(c{i}) OVER o AS l{i}, sum(c{i}) OVER a - sum(c{i}) OVER o AS r{i}, sum(c{i}) OVER a AS a{i}' for i in range(4))} FROM c WINDOW o AS (PARTITION BY name ORDER BY value), a AS (PARTITION BY name)),
       s AS (SELECT *, l0 + l1 + l2 + l3 AS nl, r0 + r1 + r2 + r3 AS nr FROM w WHERE nxt IS NOT NULL), t AS (SELECT name, (value + nxt) / 2 AS threshold, round(({_side('a')}) - (nl * ({_side('l')}) + nr * ({_side('r')})) / (nl + nr), 9) AS gain FROM s WHERE nl >= 3 AND nr >= 3) SELECT name, threshold, gain FROM t WHERE gain > 1e-12 ORDER BY gain DESC, name, threshold LIMIT 1""")
-query("m4_loo_tree", ["labels", "documents", "labelled"], lambda a, d, x: leakage.leave_one_out_tree(doc_features(a, d).where("instance_id % 7 = 0 OR name LIKE 'lang%'"), x.select("instance_id", "label"), depth=1))
+query("m4_loo_tree", ["labels", "documents", "labelled"], lambda a, d, x: leakage.leave_one_out_tree(doc_features(a, d), x.select("instance_id", "label")))
 query("p21_p_value_class", ["events"], lambda e: e.select("event_id", tx.p_value_class((F.col("event_id") % 100) / 100).alias("class")), "SELECT event_id, CASE WHEN event_id % 100 < 5 THEN 'leak' WHEN event_id % 100 < 20 THEN 'suspect' ELSE 'clean' END AS class FROM events")
 # --- numeric checker ---
 CASES = (

@@ -88,7 +88,7 @@ BAYES = f"""{TOKENS}, g AS (SELECT token, sum(o) AS g FROM own GROUP BY token),
   s AS (SELECT k.instance_id, k.label, sum(own.o * ln((coalesce(pc.c, 0) - CASE WHEN k.label = k.truth THEN own.o ELSE 0 END + CAST(1 AS DOUBLE)) / (k.t1 + k.v1))) AS s FROM k JOIN own ON own.instance_id = k.instance_id JOIN g ON g.token = own.token AND g.g > own.o LEFT JOIN pc ON pc.label = k.label AND pc.token = own.token GROUP BY ALL),
   r AS (SELECT k.instance_id, k.truth, k.label, round(ln(n1 / ((SELECT count(*) FROM [labelled]) - 1)) + coalesce(s.s, 0), 9) AS score FROM k LEFT JOIN s ON s.instance_id = k.instance_id AND s.label = k.label WHERE n1 > 0)"""
 query("m3_loo_nb", ["labelled"], leakage.leave_one_out_bayes, f"WITH {BAYES} SELECT instance_id, truth AS label, label AS predicted FROM r QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, label) = 1")
-query("m2_permutation", ["labelled"], lambda x: leakage.permutation_test(x, permutations=20))
+query("m2_permutation", ["labelled"], leakage.permutation_test)
 query("w10_adjacent", ["labelled"], leakage.adjacent_equal, "WITH s AS (SELECT label = lag(label) OVER (ORDER BY instance_id) AS same FROM [labelled]) SELECT count(*) FILTER (same) AS matches, count(*) AS n FROM s")
 query("m5_order_test", ["labelled"], leakage.order_test)
 FEATURES = ("evidence_count", "evidence_len_total", "evidence_len_mean", "claim_length_words", "id_digits")

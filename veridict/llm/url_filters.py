@@ -15,8 +15,6 @@ from veridict.llm.common import shared, table
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Levels of the tree; what lies deeper is one last segment ``**``.
-LEVELS = 4
 #: A place is variable from so many different segments on, if they have fewer URLs than this each.
 VARIABLE_SEGMENTS, VARIABLE_URLS = 10, 3
 #: Purity of an unlabelled template, its weight in URLs, and the purity below which a template is rejected.
@@ -47,23 +45,29 @@ def purity(good: Column, bad: Column) -> Column:
     return (good + F.lit(PRIOR * WEIGHT)) / (good + bad + F.lit(WEIGHT))
 
 
-def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """``paths(host, path, n, good, bad)``, one row per host and path, with its template."""
-    pieces = F.transform(F.slice(F.split("path", "/"), 2, levels + 1), lambda s, i: F.when(i < levels, F.regexp_replace(s, "[0-9]+", "{n}")).otherwise("**"))
+def templates(paths: DataFrame) -> DataFrame:
+    """``paths(host, path, n, good, bad)``, one row per host and path, with its template.
+
+    Levels go on until no path has a further segment; paths that have ended are set aside.
+    """
+    segments = F.split("path", "/")
+    pieces = F.transform(F.slice(segments, F.lit(2), F.size(segments)), lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
     tree = shared(paths.withColumn("template", F.lit("")).withColumn("pieces", pieces))
-    for level in range(1, levels + 2):
-        piece = F.get("pieces", F.lit(level - 1))
-        below = tree.withColumn("piece", piece)
+    depth = tree.agg(F.max(F.size("pieces"))).first()[0] or 0
+    ended = tree.where(F.size("pieces") == 0)
+    for level in range(1, depth + 1):
+        below = tree.where(F.size("pieces") >= level).withColumn("piece", F.get("pieces", F.lit(level - 1)))
         sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
         ends = F.sum(F.when(F.size("pieces") == level, F.col("n")).otherwise(0)).alias("ends")
-        nodes = below.where("piece IS NOT NULL").groupBy("host", "template", "piece").agg(*sums, ends)
+        nodes = below.groupBy("host", "template", "piece").agg(*sums, ends)
         places = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("urls"))
         variable = (F.col("k") >= VARIABLE_SEGMENTS) & (F.col("urls") < VARIABLE_URLS * F.col("k"))
         alike = F.concat(F.lit("~"), F.floor(purity(F.col("good"), F.col("bad")) * BINS).cast("string"), F.lit("."), F.floor(F.col("ends") * BINS / F.col("n")).cast("string"))
         named = nodes.join(places, ["host", "template"]).select("host", "template", "piece", F.when(variable, "*").otherwise(alike).alias("as"))
         # each level's tree is written once; read three times here, it would else be made three times as often a level
-        tree = shared(below.join(named, ["host", "template", "piece"], "left").select("host", "path", "n", "good", "bad", "pieces", F.when(F.col("piece").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", F.lit("*")))).alias("template")))
-    return tree.drop("pieces")
+        tree = shared(below.join(named, ["host", "template", "piece"]).select("host", "path", "n", "good", "bad", F.concat("template", F.lit("/"), "as").alias("template"), "pieces"))
+        ended = ended.unionByName(tree.where(F.size("pieces") == level))
+    return ended.drop("pieces")
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
@@ -102,18 +106,15 @@ def _oracle() -> str:
         f"u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{url}', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages)",
         f"r AS (SELECT *, {case(0)} AS rule, {case(1)} AS ruled FROM u)",
         "paths AS (SELECT host, path, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM r GROUP BY host, path)",
-        f"t0 AS (SELECT *, '' AS template, list_transform(list_slice(string_split(path, '/'), 2, {LEVELS + 2}), lambda s, i: CASE WHEN i <= {LEVELS} THEN regexp_replace(s, '[0-9]+', '{{n}}', 'g') ELSE '**' END) AS pieces FROM paths)",
+        "t0 AS (SELECT *, string_split(path, '/') AS segments FROM paths)",
+    ]
+    name = f"CASE WHEN count(DISTINCT piece) OVER p >= {VARIABLE_SEGMENTS} AND sum(n) OVER p < {VARIABLE_URLS} * count(DISTINCT piece) OVER p THEN '*' ELSE '~' || CAST(CAST(floor({pure('sum(good) OVER s', 'sum(bad) OVER s')} * {BINS}) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor((sum(CASE WHEN len(pieces) = level + 1 THEN n ELSE 0 END) OVER s) * {BINS} / (sum(n) OVER s)) AS BIGINT) AS VARCHAR) END"
+    parts += [
+        f"""walk AS (SELECT host, path, n, good, bad, list_transform(list_slice(segments, 2, len(segments)), lambda s: regexp_replace(s, '[0-9]+', '{{n}}', 'g')) AS pieces, '' AS template, 0 AS level FROM t0
+  UNION ALL SELECT host, path, n, good, bad, pieces, template || '/' || {name}, level + 1 FROM (SELECT *, pieces[level + 1] AS piece FROM walk WHERE level < len(pieces)) WINDOW p AS (PARTITION BY host, template), s AS (PARTITION BY host, template, piece))""",
+        f"j AS (SELECT host, path, CASE WHEN {pure('sum(good) OVER q', 'sum(bad) OVER q')} < {LEAST_PURITY} THEN 'block' ELSE 'allow' END AS verdict FROM walk WHERE level = len(pieces) WINDOW q AS (PARTITION BY host, template))",
     ]
-    for k in range(1, LEVELS + 2):
-        parts += [
-            f"b{k} AS (SELECT *, pieces[{k}] AS piece FROM t{k - 1})",
-            f"n{k} AS (SELECT host, template, piece, sum(n) AS n, sum(good) AS good, sum(bad) AS bad, sum(CASE WHEN len(pieces) = {k} THEN n ELSE 0 END) AS ends FROM b{k} WHERE piece IS NOT NULL GROUP BY ALL)",
-            f"m{k} AS (SELECT host, template, piece, CASE WHEN count(*) OVER p >= {VARIABLE_SEGMENTS} AND sum(n) OVER p < {VARIABLE_URLS} * count(*) OVER p THEN '*' ELSE '~' || CAST(CAST(floor({pure('good', 'bad')} * {BINS}) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor(ends * {BINS} / n) AS BIGINT) AS VARCHAR) END AS name FROM n{k} WINDOW p AS (PARTITION BY host, template))",
-            f"t{k} AS (SELECT host, path, n, good, bad, pieces, CASE WHEN piece IS NULL THEN template ELSE template || '/' || name END AS template FROM b{k} LEFT JOIN m{k} USING (host, template, piece))",
-        ]
-    last = f"t{LEVELS + 1}"
-    parts.append(f"j AS (SELECT host, path, CASE WHEN {pure('sum(good) OVER q', 'sum(bad) OVER q')} < {LEAST_PURITY} THEN 'block' ELSE 'allow' END AS verdict FROM {last} WINDOW q AS (PARTITION BY host, template))")
-    return "WITH " + ",\n".join(parts) + "\nSELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, j.verdict) AS verdict FROM r JOIN j ON r.host = j.host AND r.path = j.path"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, j.verdict) AS verdict FROM r JOIN j ON r.host = j.host AND r.path = j.path"
 
 
 OP1_SQL = _oracle()

@@ -91,12 +91,13 @@ query("m3_loo_nb", ["labelled"], leakage.leave_one_out_bayes, f"WITH {BAYES} SEL
 query("m2_permutation", ["labelled"], leakage.permutation_test)
 query("w10_adjacent", ["labelled"], leakage.adjacent_equal, "WITH s AS (SELECT label = lag(label) OVER (ORDER BY instance_id) AS same FROM [labelled]) SELECT count(*) FILTER (same) AS matches, count(*) AS n FROM s")
 query("m5_order_test", ["labelled"], leakage.order_test)
-FEATURES = ("evidence_count", "evidence_len_total", "evidence_len_mean", "claim_length_words", "id_digits")
 inputs = lambda p: records(p).select("instance_id", F.lit("two words").alias("claim"), F.col("evidence").alias("pack"))
-query("p19_features", ["pack"], lambda p: leakage.features(inputs(p)).where(F.col("name").isin(*FEATURES) | F.col("name").startswith("modality=") | F.col("name").startswith("last_source_kind=")),
-      """WITH s AS (SELECT instance_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS total, arg_max(source_kind, ordinal) AS last FROM [pack] GROUP BY instance_id)
+query("p19_features", ["pack"], lambda p: leakage.features(inputs(p)),
+      """WITH s AS (SELECT instance_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS total, arg_max(source_kind, ordinal) AS last, arg_min(source_kind, ordinal) AS first, CAST(max(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS longest, CAST(min(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS shortest FROM [pack] GROUP BY instance_id)
       SELECT instance_id, 'evidence_count' AS name, n AS value FROM s UNION ALL SELECT instance_id, 'evidence_len_total', total FROM s UNION ALL SELECT instance_id, 'evidence_len_mean', round(total / n, 9) FROM s UNION ALL SELECT instance_id, 'claim_length_words', CAST(2 AS DOUBLE) FROM s
-      UNION ALL SELECT instance_id, 'id_digits', CAST(length(CAST(instance_id AS STRING)) AS DOUBLE) FROM s UNION ALL SELECT instance_id, concat('modality=', modality), CAST(count(*) AS DOUBLE) FROM [pack] GROUP BY instance_id, modality UNION ALL SELECT instance_id, concat('last_source_kind=', last), CAST(1 AS DOUBLE) FROM s""")
+      UNION ALL SELECT instance_id, 'id_digits', CAST(length(CAST(instance_id AS STRING)) AS DOUBLE) FROM s UNION ALL SELECT instance_id, concat('modality=', modality), CAST(count(*) AS DOUBLE) FROM [pack] GROUP BY instance_id, modality UNION ALL SELECT instance_id, concat('last_source_kind=', last), CAST(1 AS DOUBLE) FROM s
+      UNION ALL SELECT instance_id, 'claim_length_chars', CAST(9 AS DOUBLE) FROM s UNION ALL SELECT instance_id, 'evidence_len_max', longest FROM s UNION ALL SELECT instance_id, 'evidence_len_min', shortest FROM s UNION ALL SELECT instance_id, 'id_length', CAST(length(CAST(instance_id AS STRING)) AS DOUBLE) FROM s
+      UNION ALL SELECT instance_id, concat('source_kind=', source_kind), CAST(count(*) AS DOUBLE) FROM [pack] GROUP BY instance_id, source_kind UNION ALL SELECT instance_id, concat('first_source_kind=', first), CAST(1 AS DOUBLE) FROM s""")
 FLOAT_FEATURES = "SELECT instance_id, name, value FROM (SELECT l.doc_id AS instance_id, 'chars' AS name, CAST(n_chars AS DOUBLE) AS value FROM labels l JOIN documents d ON l.doc_id = d.doc_id UNION ALL SELECT l.doc_id, concat('lang=', lang), CAST(1 AS DOUBLE) FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
 

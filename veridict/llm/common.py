@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,27 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def files(folder: str):
+    """pyarrow's file system of a URI, and the path within it."""
+    from pyarrow import fs
+
+    if folder.startswith("file:") or "://" not in folder:
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written once as a compressed table in the shared folder, and what removes it when nothing needs it more."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def remove() -> None:
+        system, at = files(folder)
+        system.delete_dir(at)
+
+    return df.sparkSession.read.schema(df.schema).parquet(folder), remove
+
+
 def measured(few: DataFrame, row_bytes: int) -> DataFrame:
     """``few`` written once and counted; marked to be broadcast if it is small, and joined by a shuffle if it is not."""
     few = shared(few)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,34 +18,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridict.llm import suffix_array
-from veridict.llm.common import by_group, documents, shared, whole_text
+from veridict.llm.common import by_group, documents, stored, whole_text
 
 LENGTH = 400
-GRAM = 24
+#: Long enough that prose shares such a string by copying only, so few runs are candidates by chance.
+GRAM = 64
 #: Windows in a run at most; longer runs are cut.
 MOST_WINDOWS = 2048
+#: Windows of a text that are looked at together: the memory that a very long text takes.
+WINDOWS_AT_ONCE = 1 << 20
 #: Bytes of a shard, and of one hash's runs from which on they are spread.
 SHARD_BYTES = 1 << 20
 #: Stands for a null id within keys.
 NO_ID = -(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+#: Base of the rolling hash, and places whose powers are kept.
+BASE, PLACES = 0x9E3779B97F4A7C15, 1 << 16
 
 
-def gram_hashes(words: np.ndarray, n: int, gram: int) -> np.ndarray:
-    """A 64-bit hash of each ``gram`` bytes."""
-    count = n - gram + 1
-    out = np.zeros(count, np.uint64)
-    for i in range(0, gram, 8):
-        at = min(i, gram - 8)
-        out = (out ^ words[at : at + count]) * MIX[(i >> 3) % 3]
-        out ^= out >> np.uint64(29)
+@lru_cache(2)
+def _powers(base: int, n: int = PLACES) -> np.ndarray:
+    out, known = np.ones(n, np.uint64), 1
+    while known < n:
+        more = min(known, n - known)
+        out[known : known + more] = out[:more] * np.uint64(pow(base, known, 1 << 64))
+        known += more
+    return out
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each ``gram`` bytes: a polynomial from sums of prefixes, then mixed. It only chooses
+    candidates, equal bytes have equal hashes at any place."""
+    count = len(data) - gram + 1
+    out = np.empty(count, np.uint64)
+    up, down = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+    for low in range(0, count, PLACES - gram):
+        part = data[low : low + PLACES - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(0x51ED27)) * up[: len(part)], out=sums[1:])
+        own = min(PLACES - gram, count - low)
+        out[low : low + own] = (sums[gram : gram + own] - sums[:own]) * down[:own]
+    out ^= out >> np.uint64(32)
+    out *= MIX[1]
+    out ^= out >> np.uint64(29)
     return out
 
 
 def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, least hash, whether that hash stands twice in the run) of a text's runs."""
     data = np.frombuffer(text, np.uint8)
-    hashes = gram_hashes(suffix_array.words_at(data), len(data), gram)
+    hashes = gram_hashes(data, gram)
     span = length - gram + 1
     count = len(hashes) - span + 1
     blocks = -(-len(hashes) // span)
@@ -70,22 +93,29 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
 def _runs(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = hashlib.blake2b
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        digests: list[bytes] = []
+
+        def told() -> pd.DataFrame:
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            k1, k2, starts, sizes, value, twice = (np.concatenate(c) for c in columns)
+            for c in columns:
+                c.clear()
+            digests.clear()
+            return pd.DataFrame({"k1": k1, "k2": k2, "place": starts << 12 | sizes, "v": value, "s1": halves[:, 0], "s2": halves[:, 1], "twice": twice})
+
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.iloc[low : low + 500]
-                columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-                digests, counts = [], []
-                for text in part["text"]:
-                    starts, sizes, value, twice = runs(text, length, gram)
-                    for column, x in zip(columns, (starts, sizes, value.view(np.int64), twice)):
+            for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]):
+                for low in range(0, len(text) - length + 1, WINDOWS_AT_ONCE):
+                    part = text if len(text) < WINDOWS_AT_ONCE else text[low : low + WINDOWS_AT_ONCE + length - 1]
+                    starts, sizes, value, twice = runs(part, length, gram)
+                    digests += [digest(part[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(starts.tolist(), sizes.tolist())]
+                    for column, x in zip(columns, (np.full(len(starts), k1), np.full(len(starts), k2), starts + low, sizes, value.view(np.int64), twice)):
                         column.append(x)
-                    digests += [digest(text[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(starts.tolist(), sizes.tolist())]
-                    counts.append(len(starts))
-                if not counts:
-                    continue
-                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                starts, sizes, value, twice = (np.concatenate(c) for c in columns[:4])
-                yield pd.DataFrame({"k1": np.repeat(part["k1"].to_numpy(), counts), "k2": np.repeat(part["k2"].to_numpy(), counts), "place": starts << 12 | sizes, "v": value, "s1": halves[:, 0], "s2": halves[:, 1], "twice": twice})
+                    if len(digests) > 20_000:
+                        yield told()
+        if digests:
+            yield told()
 
     return run
 
@@ -165,21 +195,22 @@ def spread_windows(shard: pd.DataFrame, pieces: list[bytes], owner: np.ndarray,
 
 
 def _shards(length: int, slices: int):
-    """Rows with a null ``slice`` are settled spans; the others are sorted digests of a shard, cut into slices by
-    binary search, for the merge."""
+    """Settled spans, whose slice is below zero, and sorted digests of a shard's spread runs, cut into slices by binary
+    search, for the merge."""
+    columns = ["slice", "s1", "s2", "low", "high", "run", "refs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in (own for several in by_group(batches, "shard") for _, own in several.groupby("shard")):
             shard = shard.reset_index(drop=True)
             spans, merge = shard_repeats(shard, length)
             if len(spans):
-                yield spans.assign(slice=pd.array([None] * len(spans), "Int64"), run=None, refs=None)
+                yield spans.assign(slice=-1 - int(shard["shard"].iloc[0]), run=None, refs=None)[columns]
             if not len(merge):
                 continue
             heads = (merge["d1"].to_numpy() >> np.uint64(48)).astype(np.int64)
             cuts = np.searchsorted(heads * slices >> 16, np.arange(slices + 1))
-            rows = [(0, 0, 0, 0, i, *(merge[["d1", "d2"]].iloc[a:b].to_numpy(np.uint64).tobytes(), merge[["s1", "s2", "low"]].iloc[a:b].to_numpy(np.int64).tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pd.DataFrame(rows, columns=["s1", "s2", "low", "high", "slice", "run", "refs"])
+            rows = [(i, 0, 0, 0, 0, merge[["d1", "d2"]].iloc[a:b].to_numpy(np.uint64).tobytes(), merge[["s1", "s2", "low"]].iloc[a:b].to_numpy(np.int64).tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -204,35 +235,41 @@ def merged_repeats(runs_of_slice: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s1": rows[:, 0], "s2": rows[:, 1], "low": rows[:, 2], "high": rows[:, 2] + 1})
 
 
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for several in by_group(batches, "slice"):
+        settled = several["slice"].to_numpy() < 0
+        yield several.loc[settled, ["s1", "s2", "low", "high"]]
+        for _, own in several[~settled].groupby("slice"):
+            yield merged_repeats(own)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Rows k1, k2, spans: for each row that ``docs(k1, k2, text)`` has, byte ranges [low, high) that repeat."""
+    """Rows k1, k2, spans: for each row that ``docs(k1, k2, text)`` has, byte ranges [low, high) that repeat.
+
+    Joins with texts are hinted to go by sorted keys, so that the plan is one at every size, and the texts that
+    ``docs`` is dealt out for here are those that the caller joins with the spans (one exchange, used twice).
+    """
     long = docs.where(F.octet_length("text") >= length)
-    every = shared(long.mapInPandas(_runs(length, gram), "k1 long, k2 long, place long, v long, s1 long, s2 long, twice boolean"))
+    every, drop_every = stored(long.mapInPandas(_runs(length, gram), "k1 long, k2 long, place long, v long, s1 long, s2 long, twice boolean"))
     common = every.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("v")
-    candidates = shared(every.join(common, "v", "left_semi"))
+    candidates, _ = stored(every.join(common.hint("merge"), "v", "left_semi"))
+    drop_every()
     windows = F.col("place").bitwiseAND(F.lit(0xFFF))
     kinds = candidates.groupBy("v", "s1", "s2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "place")).alias("one"), F.max("twice").alias("twice"))
     kinds = kinds.select("v", "s1", "s2", "times", "twice", "one.*")
     by_hash = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any"), F.sum(windows + (length - 1)).alias("bytes")).where("kinds > 1 OR any")
     parts = F.ceil(F.col("bytes") / float(shard_bytes)).cast("int")
-    open_ = shared(kinds.join(by_hash.select("v", "bytes", parts.alias("parts")), "v").drop("bytes", "twice"))
-    total = open_.agg(F.sum(windows + (length - 1))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    open_, _ = stored(kinds.join(by_hash.select("v", parts.alias("parts")), "v").drop("twice"))
+    total, spread = open_.agg(F.sum(windows + (length - 1)), F.sum(F.when(F.col("parts") > 1, windows))).first()
+    shards, slices = max(1, -(-(total or 0) // shard_bytes)), min(1 << 16, -(-(spread or 0) * 36 // shard_bytes))
     shard = F.pmod(F.xxhash64("v", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("s1"), F.col("parts"))).otherwise(0)), F.lit(shards)).cast("int")
     wanted = open_.withColumn("shard", shard).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "v", "s1", "s2", "times", "parts", "place")).alias("own"))
-    # repeated rows have equal keys and texts: one of them is read
-    pieces = docs.join(wanted, ["k1", "k2"]).select("text", "own").mapInPandas(_pieces(length), "shard int, v long, s1 long, s2 long, times long, parts int, piece binary")
-    spread = open_.where("parts > 1").agg(F.sum(windows)).first()[0] or 0
-    slices = min(1 << 16, -(-spread * 36 // shard_bytes))
-    told = pieces.repartition("shard").sortWithinPartitions("shard").mapInPandas(_shards(length, slices), "s1 long, s2 long, low long, high long, slice long, run binary, refs binary")
-    if spread:
-        told = shared(told)
-        merged = told.where("slice IS NOT NULL").select("slice", "run", "refs").groupBy("slice").applyInPandas(merged_repeats, "s1 long, s2 long, low long, high long")
-        spans = told.where("slice IS NULL").select("s1", "s2", "low", "high").unionByName(merged)
-    else:
-        spans = told.select("s1", "s2", "low", "high")
+    # repeated rows have equal keys and texts: what they give is counted as repeated anyway
+    pieces = docs.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "own").mapInPandas(_pieces(length), "shard int, v long, s1 long, s2 long, times long, parts int, piece binary")
+    told = pieces.repartition("shard").sortWithinPartitions("shard").mapInPandas(_shards(length, slices), "slice long, s1 long, s2 long, low long, high long, run binary, refs binary")
+    spans = told.repartition("slice").sortWithinPartitions("slice").mapInPandas(_merged, "s1 long, s2 long, low long, high long")
     whole = candidates.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.max(windows).alias("high")).where("n > 1").select("s1", "s2", F.lit(0).cast("long").alias("low"), "high")
-    found = candidates.join(whole.unionByName(spans), ["s1", "s2"])
+    found = candidates.select("k1", "k2", "place", "s1", "s2").join(whole.unionByName(spans), ["s1", "s2"])
     start = F.shiftright("place", 12)
     return found.groupBy("k1", "k2").agg(F.collect_list(F.struct((start + F.col("low")).alias("low"), (start + F.col("high") + (length - 1)).alias("high"))).alias("spans"))
 
@@ -276,7 +313,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     rows = keyed(docs)
     spans = repeated_spans(rows, length, gram, shard_bytes)
     own = F.when(F.col("k1") != NO_ID, F.col("k1")).alias("doc_id")
-    return rows.join(spans, ["k1", "k2"], "left").select(own, "text", "spans").mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(spans.hint("merge"), ["k1", "k2"], "left").select(own, "text", "spans").mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

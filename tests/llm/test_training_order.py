@@ -27,7 +27,7 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
     want = sorted((str(i), k // 8, tuple(t[k : k + 8])) for i, text in rows for t in [encode(text or "")] for k in range(0, len(t), 8))
     have = sorted((str(r["doc_id"]), r["part"], tuple(stored[r["slot"], : r["n_tokens"]].tolist())) for r in got)
     assert have == want
-    assert all((stored[r["slot"], r["n_tokens"] :] == order.FILL).all() for r in got)
+    assert all((stored[r["slot"], r["n_tokens"] :] == order.filling()).all() for r in got)
 
 
 def test_empty_table(spark, tmp_path):

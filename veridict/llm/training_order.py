@@ -1,5 +1,6 @@
 """Operator 10: training-order materialisation. Texts become token sequences of one length; a keyed Feistel permutation
-gives each a global slot; shards of consecutive slots are files with a fixed stride, read by offset."""
+gives each a global slot; partitions are ranges of slots, and write shards of consecutive slots as files with a fixed
+stride, read by offset."""
 
 from __future__ import annotations
 
@@ -16,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridict.llm.bpe import VOCABULARY, read_ranks
-from veridict.llm.common import documents, shared, shared_folder, whole_text
+from veridict.llm.bpe import default_path, read_ranks
+from veridict.llm.common import documents, files, shared, shared_folder, whole_text
 
-#: Tokens of a sequence, its filling (the vocabulary's free id), and sequences of a shard.
-TOKENS, FILL, PER_SHARD = 256, 50256, 16_384
+#: Tokens of a sequence, and sequences of a shard.
+TOKENS, PER_SHARD = 256, 16_384
+#: A partition is one shard up to so many shards, and several consecutive ones beyond.
+MOST_RANGES = 50_000
 KEY = 0x5EED
 ROUNDS = 6
 
@@ -61,51 +64,53 @@ def _tokenizer(path: str | None):
     import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path or public_tokenizers.path(VOCABULARY)), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path or default_path()), special_tokens={})
 
 
-def _files(folder: str):
-    from pyarrow import fs
-
-    if folder.startswith("file:") or "://" not in folder:
-        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(folder)
+def filling(path: str | None = None) -> int:
+    """The first id that the vocabulary leaves free."""
+    return max(read_ranks(path or default_path()).values()) + 1
 
 
 def write_whole(folder: str, name: str, data: bytes) -> None:
     """A file that is there whole or not at all; a task that is run again replaces it by the same bytes."""
-    files, at = _files(folder)
-    files.create_dir(at, recursive=True)
+    system, at = files(folder)
+    system.create_dir(at, recursive=True)
     part = f"{at}/.{name}.{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
+    with system.open_output_stream(part) as out:
         out.write(data)
-    files.move(part, f"{at}/{name}")
+    system.move(part, f"{at}/{name}")
 
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:
     """Sequences of consecutive slots, (count, tokens): a reader that stopped goes on from any slot."""
-    files, at = _files(folder)
-    with files.open_input_file(f"{at}/order.json") as got:
+    system, at = files(folder)
+    with system.open_input_file(f"{at}/order.json") as got:
         order = json.loads(got.read())
-    stride, out = 2 * order["tokens"], []
+    stride, out = order["bytes"] * order["tokens"], []
     last = min(first + count, order["sequences"])
     while first < last:
         shard, inside = divmod(first, order["per_shard"])
         n = min(last - first, order["per_shard"] - inside)
-        with files.open_input_file(f"{at}/shard-{shard:08d}.bin") as got:
+        with system.open_input_file(f"{at}/shard-{shard:08d}.bin") as got:
             out.append(got.read_at(n * stride, inside * stride))
         first += n
-    return np.frombuffer(b"".join(out), "<u2").reshape(-1, order["tokens"])
+    return np.frombuffer(b"".join(out), f"<u{order['bytes']}").reshape(-1, order["tokens"])
 
 
 def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKENS, per_shard: int = PER_SHARD, path: str | None = None, fixed: bool = False) -> DataFrame:
-    """Writes the shards to ``folder`` and returns per sequence: slot, shard, byte_offset, doc_id, part, n_tokens.
+    """Writes the shards and their index to ``folder``, then ``order.json``, and returns the index: per sequence slot,
+    shard, byte_offset, doc_id, part, n_tokens.
 
     A sequence's number is its place in the input, its partition's start added; so partitions must have the same rows
     when read again. Tables read from files have (``fixed``); others are first written to the shared folder. Numbers and
-    a checksum are compared. A text without tokens (null, empty) makes no sequence; repeated rows are materialised each;
-    other columns are ignored.
+    a checksum are compared before any range is written. A text without tokens (null, empty) makes no sequence; a very
+    long one makes as many as it needs; repeated rows are materialised each; other columns are ignored. Sequences are
+    filled up with the vocabulary's first free id; ids are of two bytes where that fits, else of four.
     """
+    fill = filling(path)
+    width = 2 if fill < 1 << 16 else 4
+    stride = width * tokens
     docs = docs.select("doc_id", whole_text().alias("text"))
     docs = docs if fixed else shared(docs)
 
@@ -124,10 +129,12 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
     context = docs.sparkSession.sparkContext
     known = context.broadcast((starts, checks))
     order = Permutation(max(1, total), key)
+    shards = max(1, -(-total // per_shard))
+    ranges = min(shards, MOST_RANGES)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, own = _tokenizer(path)._core_bpe.encode_ordinary, TaskContext.get().partitionId()
-        stride, filling = 2 * tokens, np.full(tokens, FILL, "<u2").tobytes()
+        fills = np.full(tokens, fill, f"<u{width}").tobytes()
         number, check = known.value[0].get(own, 0), 0
         for batch in batches:
             for low in range(0, len(batch), 1000):
@@ -138,7 +145,7 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
                     n = len(found)
                     check = (check * 1000003 + n) & 0x7FFFFFFF
                     sequences = -(-n // tokens)
-                    data = array("H", found).tobytes() + filling[: 2 * (sequences * tokens - n)]
+                    data = array("H" if width == 2 else "I", found).tobytes() + fills[: width * (sequences * tokens - n)]
                     counts.append(sequences)
                     if sequences:
                         had += [tokens] * (sequences - 1)
@@ -163,14 +170,17 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
                         write_whole(folder, f"shard-{shard:08d}.bin", b"".join(held))
                     shard, held = int(of[a]), []
                 held += batch["payload"].iloc[a:b].tolist()
-            yield pd.DataFrame({"slot": batch["slot"], "shard": of, "byte_offset": batch["slot"] % per_shard * 2 * tokens, "doc_id": batch["doc_id"], "part": batch["part"], "n_tokens": batch["n_tokens"]})
+            yield pd.DataFrame({"slot": batch["slot"], "shard": of, "byte_offset": batch["slot"] % per_shard * stride, "doc_id": batch["doc_id"], "part": batch["part"], "n_tokens": batch["n_tokens"]})
         if held:
             write_whole(folder, f"shard-{shard:08d}.bin", b"".join(held))
 
-    write_whole(folder, "order.json", json.dumps({"sequences": total, "tokens": tokens, "per_shard": per_shard, "key": key, "rounds": ROUNDS}).encode())
     placed = docs.mapInPandas(place, "slot long, doc_id long, part long, n_tokens long, payload binary")
-    ranges = placed.repartition(F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot")
-    return ranges.mapInPandas(write, "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens long")
+    # slots are even over their range, so ranges of shards are even without a sample of them
+    by_range = placed.repartitionById(ranges, F.floor(F.floor(F.col("slot") / per_shard) * ranges / shards).cast("int")).sortWithinPartitions("slot")
+    written = by_range.mapInPandas(write, "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens long")
+    written.write.mode("overwrite").parquet(f"{folder}/index")
+    write_whole(folder, "order.json", json.dumps({"sequences": total, "tokens": tokens, "bytes": width, "fill": fill, "per_shard": per_shard, "key": key, "rounds": ROUNDS}).encode())
+    return docs.sparkSession.read.schema(written.schema).parquet(f"{folder}/index")
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from veridict.llm import golomb
 from veridict.llm.common import BLANK_RUN, documents, measured, shared, whole_text
 
-#: Fingerprints that a partition codes at a time.
-CHUNK = 200_000
-#: Fingerprints that one owner has on average.
-PER_OWNER = 250_000
+#: Fingerprints that a task codes at a time, and that one owner has on average. Both are large, so that a chunk has
+#: some for each owner also at 1e11 rows.
+CHUNK = PER_OWNER = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -72,7 +71,8 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def suspect_fingerprints(prints: DataFrame, expected_rows: int) -> DataFrame:
     """Distinct fingerprints that two rows or more of ``prints(fingerprint)`` share."""
     owners = max(1, -(-expected_rows // PER_OWNER))
-    codes = shared(prints.mapInPandas(_coded(owners), "chunk long, owner int, code binary, repeated binary"))
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-expected_rows // CHUNK))
+    codes = shared(prints.coalesce(tasks).mapInPandas(_coded(owners), "chunk long, owner int, code binary, repeated binary"))
     answers = codes.select("chunk", "owner", "code").groupBy("owner").applyInPandas(_answer, "chunk long, owner int, bitmap binary")
     return codes.join(answers, ["chunk", "owner"]).mapInPandas(_suspects, "fingerprint long").distinct()
 
@@ -95,7 +95,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies; of rows that repeat an id and a text one stays."""
+    """``docs`` without the copies; of rows that repeat an id and a text one stays, the first by its JSON form."""
     verdicts = shared(exact_groups(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"))
     same = (F.col("__sha0") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     rows = docs.withColumn("__sha0", F.sha2(normalised(whole_text()), 256))
@@ -103,7 +103,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     left = rows.join(measured(gone, 64), same, "left_anti")
     repeated = verdicts.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
     if not repeated.isEmpty():
-        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__sha0"]))
+        whole = F.struct(*docs.columns)
+        one = left.join(repeated, same, "left_semi").groupBy("doc_id", "__sha0").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+        return left.join(repeated, same, "left_anti").select(*docs.columns).unionByName(one)
     return left.select(*docs.columns)
 
 

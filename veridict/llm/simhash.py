@@ -127,14 +127,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): every node of ``links(u, v)`` with the smallest node of its connected component.
 
     Large-star and small-star steps in turn; each round's links are written to the shared folder, nothing is collected.
+    So are the least neighbours: a join with a table of its own can be split or broadcast where a node has very many links.
     """
     links = shared(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = measured(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 16)
+        large = shared(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        smallest = measured(large.groupBy("u").agg(F.min("v").alias("m")), 16)
         joined = large.join(smallest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         links = shared(small)
@@ -149,7 +150,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component).
 
     Null and empty texts have fingerprint zero and are linked as any others; equal fingerprints are one node, so copies
-    cost nothing; a null id is never the smallest unless all of its component are; other columns are ignored.
+    cost nothing; a null id is never the smallest unless all of its component are; very long texts are read whole, a
+    bounded number of shingles at a time; other columns are ignored.
     """
     prints = shared(docs.select("doc_id", F.encode(whole_text(), "UTF-8").alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long"))
     nodes = shared(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -157,7 +159,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_links, "u long, v long")
     placed = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = shared(placed)
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = measured(placed.groupBy("root").agg(F.min("first").alias("component_id")), 16)
     of_print = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -44,8 +44,19 @@ def number_within(rows: DataFrame, group: str, order: list[str], slot: str, expe
     starts = starts.select(*place, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(*place).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     numbered = summed.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(starts, place)
-    first = F.col("__start") + F.col("__before")
-    return numbered.select(*names, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias(slot))
+    first = (F.col("__start") + F.col("__before")).alias("__first")
+    return numbered_rows(numbered.select(*names, first, "__n"), names, slot)
+
+
+def numbered_rows(summed: DataFrame, names: list[str], slot: str) -> DataFrame:
+    """Rows of ``summed(names, __first, __n)`` as often as ``__n`` says, numbered on from ``__first``. What stands very
+    often is cut into ranges that are dealt out before they are written out."""
+    ends = F.col("__first") + F.col("__n")
+    few = summed.where(F.col("__n") <= ROWS_PER_BUCKET).select(*names, F.explode(F.sequence(F.col("__first"), ends - 1)).alias(slot))
+    cut = summed.where(F.col("__n") > ROWS_PER_BUCKET).select(*names, ends.alias("__end"), F.explode(F.sequence(F.col("__first"), ends - 1, F.lit(ROWS_PER_BUCKET).cast("long"))).alias("__from"))
+    dealt = cut.repartition("__from", *names)
+    many = dealt.select(*names, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + ROWS_PER_BUCKET, F.col("__end")) - 1)).alias(slot))
+    return few.unionByName(many)
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ MOST_TRANSITIONS = 500_000
 MOST_PAIRS = 600_000
 MOST_PIECES = 300_000
 MOST_STEPS = 200_000
+#: Characters of a piece up to which it is kept.
+LONGEST_PIECE = 256
 #: Bytes of a piece after which its settled tokens are emitted.
 FLUSH = 4096
 
@@ -168,7 +170,8 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-        self[piece] = ids
+        if len(piece) <= LONGEST_PIECE:
+            self[piece] = ids
         return ids
 
 
@@ -284,7 +287,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; computed beside the ids, so that only digests leave Python."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; computed beside the ids, so that only digests leave Python.
+
+    Null texts are empty ones, which have no ids; repeated rows get a row each; very long texts are encoded whole, piece
+    by piece; other columns are ignored.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, sha = codec(path), hashlib.sha256

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +49,41 @@ def test_against_brute_force(spark, shard_bytes):
     assert sorted(map(tuple, got), key=str) == brute(rows, 40)
 
 
+def brute_digests(texts, length):
+    """Removed bytes by counting digests of all windows."""
+    window = lambda data, at: hashlib.blake2b(data[at : at + length], digest_size=16).digest()
+    times = Counter(window(d, at) for d in texts for at in range(len(d) - length + 1))
+    out = []
+    for d in texts:
+        gone = np.zeros(len(d), bool)
+        for at in range(len(d) - length + 1):
+            if times[window(d, at)] > 1:
+                gone[at : at + length] = True
+        out.append((int(gone.sum()), int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))), hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+def test_whole_table_at_the_production_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = brute_digests([(r["text"] or "").encode() for r in rows], substring_dedup.LENGTH)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.op2_substring_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r["doc_id"]: w for r, w in zip(rows, want)}
+    assert sum(w[0] for w in want) > 100_000
+
+
+def test_a_very_long_text(spark):
+    """Longer than the windows that are looked at together, with a passage that stands across their border."""
+    rng = np.random.default_rng(8)
+    noise = rng.integers(97, 123, substring_dedup.WINDOWS_AT_ONCE + 50_000).astype(np.uint8).tobytes().decode()
+    at = substring_dedup.WINDOWS_AT_ONCE - 150
+    rows = [(1, noise), (2, "x" * 20 + noise[at : at + 300] + "y"), (3, noise[77:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df, length=40, gram=8).collect()}
+    assert got == dict(zip((1, 2, 3), brute_digests([t.encode() for _, t in rows], 40)))
+    assert [got[i][0] for i in (1, 2, 3)] == [423, 300, 123]
+
+
 def test_empty_table(spark):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

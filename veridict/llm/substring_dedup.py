@@ -83,6 +83,8 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
         cuts = np.concatenate([np.arange(s, s + n, MOST_WINDOWS) for s, n in zip(starts, sizes)])
         starts, sizes = cuts, np.diff(np.append(cuts, count))
     value = least[starts]
+    if np.count_nonzero(np.isin(hashes, value)) == len(np.unique(value)):
+        return starts, sizes, value, np.zeros(len(starts), bool)
     reach = sizes + span - 1
     firsts = np.cumsum(reach) - reach
     places = np.arange(reach.sum()) + np.repeat(starts - firsts, reach)
@@ -257,7 +259,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     windows = F.col("place").bitwiseAND(F.lit(0xFFF))
     kinds = candidates.groupBy("v", "s1", "s2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "place")).alias("one"), F.max("twice").alias("twice"))
     kinds = kinds.select("v", "s1", "s2", "times", "twice", "one.*")
-    by_hash = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any"), F.sum(windows + (length - 1)).alias("bytes")).where("kinds > 1 OR any")
+    by_hash = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any"), F.sum(windows + (length - 1)).alias("bytes"), F.min("times").alias("least")).where("(kinds > 1 OR any) AND least = 1")
+    # where all runs of a hash stand twice they are settled as wholes
     parts = F.ceil(F.col("bytes") / float(shard_bytes)).cast("int")
     open_, _ = stored(kinds.join(by_hash.select("v", parts.alias("parts")), "v").drop("twice"))
     total, spread = open_.agg(F.sum(windows + (length - 1)), F.sum(F.when(F.col("parts") > 1, windows))).first()

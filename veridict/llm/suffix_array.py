@@ -1,4 +1,4 @@
-"""Suffix arrays of a shard of byte strings, in numpy: refinement by doubling, and common prefixes of neighbours."""
+"""Suffix arrays of a shard of byte strings, in numpy: refinement by ranks, and common prefixes of neighbours."""
 
 from __future__ import annotations
 
@@ -19,50 +19,56 @@ def sorted_to_depth(words: np.ndarray, left: np.ndarray, depth: int) -> tuple[np
     """Larsson-Sadakane refinement: places with ``left`` >= depth bytes to their string's end whose first ``depth``
     bytes another such place has too, in suffix order, and their ranks. Places alone in their group drop out early.
 
-    Ranks are the first place of a group in the order. A round makes them good to a greater depth by the ranks of the
-    places that follow; a place too near its end for that depth keeps a stale rank, which no later round asks for.
+    Ranks are the first place of a group in the order. A round makes them good to twice or three times the depth by the
+    ranks of the places that follow; a place too near its end for that depth keeps a stale rank, which no later round
+    asks for.
     """
-    places = np.flatnonzero(left >= min(8, depth))
+    n = len(words)
+    bits = max(1, n.bit_length())
+    places = np.flatnonzero(left >= min(8, depth)).astype(np.int32 if n < 1 << 31 else np.int64)
     key = words[places].byteswap()
     if depth < 8:
         key >>= np.uint64(8 * (8 - depth))
-    ranks = np.zeros(len(words) + 1, np.int64)
-    reached, base = min(8, depth), np.zeros(len(places), np.int64)
+    ranks = np.zeros(n + 1, places.dtype)
+    reached, base = min(8, depth), np.zeros(len(places), places.dtype)
     while True:
         order = np.argsort(key)
         places, key, base = places[order], key[order], base[order]
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
         starts = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        # the rank of the old group, and the number of its places before this group
-        old = np.concatenate([[True], base[1:] != base[:-1]]) if len(key) else first
-        old_start = np.flatnonzero(old)[np.cumsum(old) - 1] if len(key) else starts
-        ranks[places] = base + starts[group] - old_start if len(key) else 0
         sizes = np.diff(np.append(starts, len(key)))
+        # the rank of the old group, and the number of its places before this group
+        heads = base[starts]
+        old = np.concatenate([[True], heads[1:] != heads[:-1]]) if len(key) else first
+        old_start = starts[np.flatnonzero(old)[np.cumsum(old) - 1]] if len(key) else starts
+        found = np.repeat((heads + starts - old_start).astype(places.dtype), sizes)
+        ranks[places] = found
         several = np.repeat(sizes > 1, sizes)
+        places, base = places[several], found[several]
         if reached == depth:
-            return places[several], ranks[places[several]]
-        step = min(reached, depth - reached)
-        reached += step
-        places = places[several]
-        places = places[left[places] >= reached]
-        base = ranks[places]
-        key = base * np.int64(len(words) + 1) + ranks[places + step]
+            return places.astype(np.int64), base.astype(np.int64)
+        steps = [reached, 2 * reached] if 3 * reached <= depth and 3 * bits <= 63 else [min(reached, depth - reached)]
+        reached += steps[-1] if len(steps) == 1 else 2 * reached
+        far = left[places] >= reached
+        places, base = places[far], base[far]
+        key = base.astype(np.int64)
+        for step in steps:
+            key = key << bits | ranks[places + np.int32(step)]
 
 
-def common_prefixes(words: np.ndarray, left: np.ndarray, places: np.ndarray, before: np.ndarray) -> np.ndarray:
+def common_prefixes(words: np.ndarray, left: np.ndarray, places: np.ndarray, before: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
     """Kasai's recurrence: bytes that the strings from ``places`` and from ``before`` share, up to the nearer end.
 
     In text order, where a pair follows the pair one place earlier, it shares one byte less. Only the other pairs are
-    compared, all at once, eight bytes at a time.
+    compared, all at once, eight bytes at a time, from the bytes that are ``known`` to be shared.
     """
     order = np.argsort(places)
     p, q = places[order], before[order]
     head = np.concatenate([[True], (np.diff(p) != 1) | (np.diff(q) != 1)]) if len(p) else np.empty(0, bool)
     at, other = p[head], q[head]
     most = np.minimum(left[at], left[other])
-    shared = np.zeros(len(at), np.int64)
-    open_ = np.arange(len(at))
+    shared = np.zeros(len(at), np.int64) if known is None else np.minimum(known[order][head], most)
+    open_ = np.flatnonzero(shared < most)
     while len(open_):
         differ = words[at[open_] + shared[open_]] ^ words[other[open_] + shared[open_]]
         same = differ == 0
@@ -88,7 +94,7 @@ def repeated_classes(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.n
     if not len(places):
         none = np.empty(0, np.int64)
         return none, none, none
-    shared = common_prefixes(words, left, places[1:], places[:-1])
+    shared = common_prefixes(words, left, places[1:], places[:-1], np.where(ranks[1:] == ranks[:-1], depth, 0))
     classes = np.cumsum(np.concatenate([[0], shared < depth]))
     owner = np.searchsorted(ends, places, side="right")
     return owner, places - (ends - lengths)[owner], classes

@@ -27,7 +27,7 @@ def test_too_few_groups_are_reported(spark):
 
 
 def test_overlap(spark):
-    rows = [("a", "1", "Component A is necessary for the gains.", []), ("b", "2", "Component A is  necessary for the gain.", []), ("b", "3", "Something else entirely.", [("e1", "x")]), ("b", "4", "something else entirely. ", [("e1", " X")]), ("b", "5", "Something else entirely.", [])]
+    rows = [("a", "1", "Dropout before the encoder keeps recall stable.", []), ("b", "2", "Dropout before the encoder  keeps recall stabler.", []), ("b", "3", "Something else entirely.", [("e1", "x")]), ("b", "4", "something else entirely. ", [("e1", " X")]), ("b", "5", "Something else entirely.", [])]
     df = spark.createDataFrame(rows, PACK)
     assert [(r["left"], r["right"]) for r in con.similar(df).collect()] == [("1", "2")]
     assert [tuple(r) for r in con.duplicates(df).collect()] == [("b", "3", "4")]

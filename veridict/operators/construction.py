@@ -38,6 +38,27 @@ def refuse_repeats(rows: DataFrame, key: str = "instance_id") -> DataFrame:
     return rows.withColumn("__bad", F.assert_true(good, F.concat(F.lit("missing or repeated key: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).where("__bad IS NULL").drop("__bad")
 
 
+def derive(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Public inputs and gold of private records: each row is refused (the job fails and names it) if its id is missing
+    or repeated, if a field that the public half needs is missing, or if a forbidden key is left in the projection."""
+    from veridict.operators.validation import forbidden
+    from veridict.sources.tables import stored
+
+    name = F.coalesce(F.col("instance_id").cast("string"), F.lit("null"))
+    needed = [F.col(c).isNotNull() for c in ("schema_version", "paper.paper_id", "claim.text", "claim.claim_type", "claim.scope", "evidence", "gold.verdict")]
+    whole = F.lit(True)
+    for there in needed:
+        whole = whole & there
+    whole = whole & F.forall("evidence", lambda u: u["eid"].isNotNull())
+    kept = refuse_repeats(records)
+    kept = stored(kept.withColumn("__bad", F.assert_true(F.coalesce(whole, F.lit(False)), F.concat(F.lit("missing field: "), name))).where("__bad IS NULL").drop("__bad"))
+    inputs = public_input(kept)
+    hits = forbidden(inputs.select(F.col("instance_id").alias("id"), F.parse_json(F.to_json(F.struct(*inputs.columns))).alias("document")), values=True)
+    worst = hits.select(F.assert_true(F.lit(False), F.concat(F.lit("private field in the projection of "), F.col("id").cast("string"), F.lit(": "), "path")))
+    worst.collect()  # no rows, or the job has failed
+    return inputs, public_gold(kept)
+
+
 def group_key(by: str) -> Column:
     """One hop only: a variant of a variant is in its direct seed's group."""
     if by == "paper":
@@ -181,3 +202,53 @@ def new_ids(old: DataFrame, reserved: DataFrame | None = None, seed: int | None
         used = good.select(F.col("new").alias("instance_id"))
         taken = used if taken is None else taken.select("instance_id").unionByName(used)
     raise RuntimeError("no free ids were found")
+
+
+def orderly_ids(old: DataFrame, labels: DataFrame, reserved: DataFrame | None = None, seed: int | None = None, attempts: int = 20, least_p: float = 0.05) -> tuple[DataFrame, float | None]:
+    """``new_ids``, drawn again until the labels (instance_id, label) do not cluster in the order of the new ids, or
+    ``attempts`` are used up; and the p-value. With fewer than four labels any order is accepted."""
+    from veridict.operators.leakage import order_test
+    from veridict.sources.tables import shared
+
+    if labels.limit(4).count() < 4:
+        return new_ids(old, reserved, seed), None
+    for attempt in range(attempts):
+        ids = shared(new_ids(old, reserved, None if seed is None else seed + attempt))
+        renamed = labels.join(ids, F.col("instance_id") == F.col("old")).select(F.col("new").alias("instance_id"), "label")
+        p = order_test(renamed).first()["p"]
+        if p >= least_p:
+            break
+    return ids, p
+
+
+def rehearse(records: DataFrame, predict, by: str = "seed", ratios: dict[str, float] | None = None, split: str = "hidden_val") -> tuple[DataFrame, dict]:
+    """A rehearsal of the hidden evaluation: split, project the student half of ``split``, check it, let ``predict``
+    (inputs to predictions) answer, validate and score.
+
+    Returns (problem, what) and a report; where the split came out empty, only problems.
+    """
+    from veridict.operators import evaluation, reports, validation
+    from veridict.sources.tables import stored
+
+    seed = F.col("stress.seed_instance_id") if "stress" in records.columns else F.lit(None).cast("string")
+    placed = stored(split_records(records.withColumns({"paper_id": F.col("paper.paper_id"), "seed_instance_id": seed}), by, ratios or {"public": 0.5, "hidden_val": 0.3, "hidden_test": 0.2}))
+    problems = split_problems(placed)
+    if by != "seed":  # splits by paper may part a seed from its variants
+        problems = problems.where("problem <> 'seed group in several splits'")
+    own = placed.where(F.col("split") == split).drop("split", "seed_instance_id", "paper_id")
+    size = own.count()
+    if not size:
+        return problems.unionByName(records.sparkSession.createDataFrame([("split is empty", split)], "problem string, what string")), {}
+    inputs, gold = derive(own)
+    document = lambda df: F.parse_json(F.to_json(F.struct(*df.columns)))
+    student = validation.student_half_problems(inputs.select(F.lit(f"{split}/inputs.jsonl").alias("path"), document(inputs).alias("document")))
+    pred = stored(predict(inputs))
+    broken = pred.select(F.col("instance_id").cast("string").alias("what"), F.explode(validation.prediction_problems(document(pred))).alias("code")).select(F.concat(F.lit("prediction: "), "code").alias("problem"), "what")
+    cross = validation.prediction_violations(pred.select(F.lit(None).cast("long").alias("line"), "instance_id", "predicted_eids"), inputs.select("instance_id", F.col("allowed_evidence_ids").alias("allowed"))).select(F.concat(F.lit("prediction: "), "code").alias("problem"), F.col("detail").alias("what"))
+    problems = problems.unionByName(student.withColumnRenamed("path", "what")).unionByName(broken).unionByName(cross)
+    flat = pred.select("instance_id", "verdict", "confidence", "abstain", "predicted_eids", "issue_tags", *[F.lit(None).cast("double").alias(c) for c in ("runtime_seconds", "gpu_seconds", "api_cost_usd")])
+    scored = reports.score(evaluation.normal_gold(gold), flat).first()
+    if not scored["scoreable"]:
+        problems = problems.unionByName(records.sparkSession.createDataFrame([("not scored", split)], "problem string, what string"))
+    sizes = {r["split"]: r["n"] for r in placed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return problems, {"split": split, "by": by, "instances": size, "accuracy": scored["accuracy"], "coverage": scored["coverage"], "sizes": sizes, "shared_papers": papers_in_several(placed).count()}

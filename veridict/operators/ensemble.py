@@ -52,9 +52,16 @@ def comparison_row(scored: DataFrame, system: str, repeat: int) -> DataFrame:
 
 
 def repeat_medians(runs: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """``runs(system, pass, metrics...)`` to median, smallest, largest and all values per system and metric."""
+    """``runs(system, pass, metrics...)`` to median, smallest, largest and all values, in the order of passes, per system
+    and metric."""
     long = runs.unpivot(["system", "pass"], list(metrics), "metric", "value")
-    return long.groupBy("system", "metric").agg(F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("repeats"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pass", "value"))), lambda x: x["value"])
+    return long.groupBy("system", "metric").agg(F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("repeats"), values.alias("values"))
+
+
+def repeat_sums(runs: DataFrame) -> DataFrame:
+    """``runs(system, pass, answered, total, fallbacks)``: per system the median of answered, its total, all fallbacks."""
+    return runs.groupBy("system").agg(F.round(F.median("answered")).cast("long").alias("answered"), F.min_by("total", "pass").alias("total"), F.sum("fallbacks").alias("fallbacks"))
 
 
 def dominance(medians: DataFrame, coverage: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -53,11 +53,11 @@ def leave_one_out_bayes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFra
     lonely = own.join(overall, [*on, "token"]).where("G = o").groupBy(*on, "instance_id").agg(F.count(F.lit(1)).alias("only_here"))
     vocabulary = overall.groupBy(*on).agg(F.count(F.lit(1)).alias("V")) if on else overall.agg(F.count(F.lit(1)).alias("V"))
     count = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("all")) if on else rows.agg(F.count(F.lit(1)).alias("all"))
-    meet = (lambda a, b: a.join(b, on)) if on else (lambda a, b: a.join(F.broadcast(b)))
+    meet = (lambda a, b: a.join(b, on)) if on else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one row
     base = meet(meet(rows.select(*on, "instance_id", F.col("label").alias("truth")), count), vocabulary)
     base = base.join(sizes, [*on, "instance_id"], "left").join(lonely, [*on, "instance_id"], "left").na.fill(0, ["len", "only_here"])
     stats = classes.join(totals, [*on, "label"], "left").na.fill(0, ["T"])
-    cand = meet(base, stats) if on else base.join(F.broadcast(stats))  # one row a class
+    cand = meet(base, stats) if on else base.crossJoin(stats)  # a few rows a class
     mine = F.when(F.col("label") == F.col("truth"), 1).otherwise(0)
     cand = cand.withColumn("N1", F.col("in_class") - mine).where("N1 > 0").withColumn("T1", F.col("T") - mine * F.col("len")).withColumn("V1", F.greatest(F.col("V") - F.col("only_here"), F.lit(1)))
     known = own.join(overall, [*on, "token"]).where("G > o").select(*on, "instance_id", "token", "o")
@@ -68,6 +68,25 @@ def leave_one_out_bayes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFra
     return scored.groupBy(*on, "instance_id", "truth").agg(F.min(F.struct((-F.col("score")).alias("m"), "label")).alias("b")).select(*on, "instance_id", F.col("truth").alias("label"), F.col("b.label").alias("predicted"))
 
 
+def leave_one_out(rows: DataFrame, fit: Callable[[pd.DataFrame], Callable[[pd.Series], str]]) -> DataFrame:
+    """Prediction of each row by a classifier that ``fit`` makes of all the others: any classifier, refitted for each
+    fold; a fold is a task's unit, and the (audit-sized) rows are read by all."""
+    every = rows.toPandas()
+    known = rows.sparkSession.sparkContext.broadcast(every)
+
+    def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = known.value
+        for batch in batches:
+            found = []
+            for i in batch["instance_id"]:
+                own = frame["instance_id"] == i
+                found.append(fit(frame[~own])(frame[own].iloc[0]))
+            yield batch.assign(predicted=found)
+
+    ids = rows.select("instance_id", "label")
+    return ids.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).mapInPandas(folds, ids.schema.add("predicted", "string"))
+
+
 def permuted(labels: np.ndarray, permutations: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
     """One row a permutation: the labels in id order, shuffled; row 0 has the true ones. The shuffles follow each other
     in one stream of numbers, so they are made where the (audit-sized) labels are."""
@@ -148,19 +167,33 @@ def permutation_test(rows: DataFrame, permutations: int = PERMUTATIONS, seed: in
     return rest.groupBy("observed").agg(((1 + F.count_if(F.col("accuracy") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"), F.median("accuracy").alias("median"), F.max("accuracy").alias("most"))
 
 
+def metadata_probe(long: DataFrame, labels: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED, depth: int = MAX_DEPTH) -> DataFrame:
+    """Leave-one-out accuracy of the tree on features alone, and how often shuffled labels reach it. Each permutation is
+    one run of ``leave_one_out_tree``; for audit sets of some hundred rows."""
+    order = labels.select("instance_id", "label").orderBy("instance_id").toPandas()
+    spark, found = labels.sparkSession, []
+    for own in permuted(order["label"].to_numpy(object), permutations, seed):
+        shuffled = spark.createDataFrame(pd.DataFrame({"instance_id": order["instance_id"], "label": own}))
+        found.append(leave_one_out_tree(long, shuffled, depth).agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0])
+    observed, rest = found[0], np.array(found[1:], float)
+    row = (observed, float((1 + (rest >= observed).sum()) / (1 + len(rest))), float(np.median(rest)) if len(rest) else None, float(rest.max()) if len(rest) else None)
+    return spark.createDataFrame([row], "observed double, p double, median double, most double")
+
+
 def indicative_tokens(rows: DataFrame, top: int = 5, least: int = 2) -> DataFrame:
     """Words whose share of documents in a class most exceeds that elsewhere."""
     n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("inside")).withColumn("all", F.sum("inside").over(Window.partitionBy()))
     in_class = token_counts(rows).groupBy("label", "token").agg(F.count(F.lit(1)).alias("count"))
     total = in_class.groupBy("token").agg(F.sum("count").alias("total")).where(F.col("total") >= least)
-    both = in_class.join(total, "token").join(F.broadcast(n), "label")
+    both = in_class.join(total, "token").join(n, "label")
     gap = F.round(F.col("count") / F.col("inside") - (F.col("total") - F.col("count")) / F.greatest(F.lit(1), F.col("all") - F.col("inside")), 9)
     order = Window.partitionBy("label").orderBy(F.desc("gap"), F.desc("token"))
     return both.withColumn("gap", gap).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("label", F.col("place").cast("long").alias("place"), "token", "count", "total", "gap")
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """``rows(instance_id, claim, scope, eids count, units...)`` of an input table to long (instance_id, name, value).
+    """``rows(instance_id, claim, pack)`` of an input table, and ``allowed``, ``claim_type``, ``scope``, ``paper_id`` where
+    it has them, to long (instance_id, name, value).
 
     Lengths and counts, and indicators of categories; never any text. Absent features are zero.
     """
@@ -169,11 +202,15 @@ def features(rows: DataFrame) -> DataFrame:
     words = F.size(F.filter(F.split(F.col("claim"), r"(?U)\s+"), lambda w: w != ""))
     total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
     numbers = {"claim_length_chars": F.length("claim"), "claim_length_words": words, "evidence_count": F.size("pack"), "evidence_len_mean": F.round(total / F.size(lengths), 9), "evidence_len_max": F.array_max(lengths), "evidence_len_min": F.array_min(lengths), "evidence_len_total": total, "id_length": F.length(name), "id_digits": F.length(F.regexp_replace(name, "[^0-9]", ""))}
+    if "allowed" in rows.columns:
+        numbers["allowed_eids_count"] = F.coalesce(F.size("allowed"), F.lit(0))
     fixed = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in numbers.items()])
     one = lambda text: F.struct(text.alias("name"), F.lit(1.0).alias("value"))
     kinds = F.flatten(F.transform("pack", lambda u: F.array(one(F.concat(F.lit("modality="), u["modality"])), one(F.concat(F.lit("source_kind="), u["source_kind"])))))
     ends = F.when(F.size("pack") > 0, F.array(one(F.concat(F.lit("first_source_kind="), F.element_at("pack", 1)["source_kind"])), one(F.concat(F.lit("last_source_kind="), F.element_at("pack", -1)["source_kind"])))).otherwise(F.array().cast("array<struct<name:string,value:double>>"))
-    long = rows.select("instance_id", F.inline(F.concat(fixed, kinds, ends)))
+    named = [one(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None")))) for c in ("claim_type", "scope", "paper_id") if c in rows.columns]
+    labels = F.array(*named) if named else F.array().cast("array<struct<name:string,value:double>>")
+    long = rows.select("instance_id", F.inline(F.concat(fixed, labels, kinds, ends)))
     return long.groupBy("instance_id", "name").agg(F.sum("value").alias("value"))
 
 

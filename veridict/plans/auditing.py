@@ -59,13 +59,16 @@ FIRED = "emitted AS (SELECT *, concat_ws(',', CASE WHEN verdict IS NULL THEN 'un
 query("a19_majority", ["ballots"], lambda b: ensemble.majority(b).select("instance_id", "verdict", F.coalesce("wins", F.lit(0)).alias("wins"), "ballots", F.round("agreement", 9).alias("agreement"), F.round("mean_confidence", 9).alias("mean_confidence")), f"WITH {VOTES} SELECT instance_id, verdict, coalesce(wins, 0) AS wins, ballots, round(agreement, 9) AS agreement, round(mean_confidence, 9) AS mean_confidence FROM votes")
 emitted = lambda b: ensemble.abstain(ensemble.majority(b), threshold=0.95)
 query("x_abstain", ["ballots"], lambda b: emitted(b).select("instance_id", "verdict", "abstain", F.array_join("fired", ",").alias("fired")), f"WITH {VOTES}, {FIRED} SELECT instance_id, CASE WHEN fired <> '' THEN 'insufficient' ELSE verdict END AS verdict, fired <> '' AS abstain, fired FROM emitted")
+conflicting = lambda b: ensemble.abstain(ensemble.majority(b).withColumn("conflict", F.col("instance_id") % 3 == 0), threshold=0.95, conflict="conflict")
+query("x4_conflict", ["ballots"], lambda b: conflicting(b).select("instance_id", "verdict", F.array_join("fired", ",").alias("fired")), f"WITH {VOTES}, {FIRED}, c AS (SELECT instance_id, verdict, concat_ws(',', nullif(replace(replace(fired, ',ensemble_split', ''), 'ensemble_split', ''), ''), CASE WHEN verdict <> 'contradicted' AND instance_id % 3 = 0 THEN 'checker_conflict' END, CASE WHEN contains(fired, 'ensemble_split') THEN 'ensemble_split' END) AS fired FROM emitted) SELECT instance_id, CASE WHEN fired <> '' THEN 'insufficient' ELSE verdict END AS verdict, fired FROM c")
 query("x6_emission", ["ballots"], lambda b: emitted(b).select("instance_id", F.round("confidence", 3).alias("confidence"), (F.col("rationale_short").isNotNull()).alias("explained")), f"WITH {VOTES}, {FIRED} SELECT instance_id, round(round(coalesce(agreement * mean_confidence, 0), 4), 3) AS confidence, fired <> '' AS explained FROM emitted")
 query("x7_ablation", ["ballots"], lambda b: ensemble.rule_counts(ensemble.abstain(ensemble.majority(b), threshold=0.95, disabled=("low_confidence", "ensemble_split"))), f"WITH {VOTES}, {FIRED} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(fired, ',')) AS rule FROM emitted) WHERE rule IN ('unparsable_json', 'empty_evidence') GROUP BY rule")
 query("a27_rule_counts", ["ballots"], lambda b: ensemble.rule_counts(emitted(b)), f"WITH {VOTES}, {FIRED} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(fired, ',')) AS rule FROM emitted) WHERE rule <> '' GROUP BY rule")
 RUNS = "passes AS (SELECT system, pass, CAST(count(*) FILTER (verdict = gold) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER (verdict = 'warranted' AND gold <> 'warranted') AS DOUBLE) / count(*) FILTER (gold <> 'warranted') AS sfwr FROM [runs] GROUP BY system, pass)"
-MEDIANS = "medians AS (SELECT system, metric, median(value) AS median, min(value) AS least, max(value) AS most, count(*) AS repeats FROM (SELECT system, 'accuracy' AS metric, accuracy AS value FROM passes UNION ALL SELECT system, 'sfwr', sfwr FROM passes) GROUP BY ALL)"
+MEDIANS = "medians AS (SELECT system, metric, median(value) AS median, min(value) AS least, max(value) AS most, count(*) AS repeats, list(value ORDER BY pass) AS every FROM (SELECT system, pass, 'accuracy' AS metric, accuracy AS value FROM passes UNION ALL SELECT system, pass, 'sfwr', sfwr FROM passes) GROUP BY system, metric)"
 passes = lambda r: r.groupBy("system", "pass").agg((F.count_if(F.col("verdict") == F.col("gold")) / F.count(F.lit(1))).alias("accuracy"), (F.count_if((F.col("verdict") == "warranted") & (F.col("gold") != "warranted")) / F.count_if(F.col("gold") != "warranted")).alias("sfwr"))
 medians = lambda r: ensemble.repeat_medians(passes(r), ("accuracy", "sfwr"))
-query("a20_median", ["runs"], medians, f"WITH {RUNS}, {MEDIANS} SELECT * FROM medians")
+query("a20_median", ["runs"], lambda r: medians(r).withColumn("values", F.array_join(F.transform("values", lambda x: F.floor(x * 1000000 + 0.5).cast("string")), ",")),
+      f"WITH {RUNS}, {MEDIANS} SELECT * EXCLUDE (every), array_to_string(list_transform(every, lambda x: CAST(CAST(floor(x * 1000000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS VARCHAR)), ',') AS \"values\" FROM medians")
 query("a21_dominance", ["runs"], lambda r: ensemble.dominance(medians(r)), f"""WITH {RUNS}, {MEDIANS}, g AS (SELECT *, CASE WHEN metric = 'sfwr' THEN -1 ELSE 1 END AS sign FROM medians), b AS (SELECT metric, system, sign * median AS m, greatest(sign * least, sign * most) AS best, least(sign * least, sign * most) AS worst FROM g),
   l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY metric ORDER BY m DESC, system) = 1) SELECT l.metric, l.system AS leader, CASE WHEN l.worst > max(b.best) THEN 'strict' WHEN l.worst >= max(b.best) THEN 'weak' ELSE 'none' END AS dominance FROM l JOIN b ON l.metric = b.metric AND l.system <> b.system GROUP BY l.metric, l.system, l.worst""")

@@ -31,7 +31,12 @@ def records(p):
 query("p1_project", ["pack"], lambda p: con.public_input(records(p)).select("instance_id", "paper_id", F.array_join("allowed_evidence_ids", ",").alias("allowed"), F.array_join(F.transform("evidence_pack", lambda u: u["text"]), ";").alias("texts"), F.size(F.json_object_keys(F.to_json("claim"))).cast("long").alias("claim_keys"), F.size(F.json_object_keys(F.to_json(F.col("evidence_pack")[0]))).cast("long").alias("unit_keys")),
       "SELECT instance_id, concat('p', CAST(instance_id % 7 AS STRING)) AS paper_id, string_agg(eid, ',' ORDER BY ordinal) AS allowed, string_agg(concat('quantity ', CAST(CAST(l_quantity AS INTEGER) AS STRING)), ';' ORDER BY ordinal) AS texts, CAST(3 AS BIGINT) AS claim_keys, CAST(4 AS BIGINT) AS unit_keys FROM [pack] GROUP BY instance_id")
 query("p2_gold", ["pack"], lambda p: con.public_gold(records(p)).select("instance_id", F.to_json("gold").alias("gold")), """SELECT instance_id, '{"verdict":"warranted","supporting_eids":["e1"],"issue_tags":["ablation"]}' AS gold FROM [pack] GROUP BY instance_id""")
-query("p3_derive", ["orders"], lambda o: con.refuse_repeats(o.select(F.col("o_orderkey").alias("instance_id"), "o_orderstatus")), "SELECT o_orderkey AS instance_id, o_orderstatus FROM orders")
+def derived(p):
+    inputs, gold = con.derive(records(p))
+    return inputs.join(gold, "instance_id").select("instance_id", "paper_id", F.array_join("allowed_evidence_ids", ",").alias("allowed"), F.to_json("gold").alias("gold"))
+
+
+query("p3_derive", ["pack"], derived, """SELECT instance_id, concat('p', CAST(instance_id % 7 AS STRING)) AS paper_id, string_agg(eid, ',' ORDER BY ordinal) AS allowed, '{"verdict":"warranted","supporting_eids":["e1"],"issue_tags":["ablation"]}' AS gold FROM [pack] GROUP BY instance_id""")
 query("p16_fingerprint", ["documents"], lambda d: d.select("doc_id", F.explode(tx.fingerprint(F.array(F.struct(F.lit("e1").alias("eid"), F.col("text").alias("text"))))).alias("u")).select("doc_id", "u.eid", F.md5("u.text").alias("digest")), "SELECT doc_id, 'e1' AS eid, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents")
 PEOPLE = "SELECT c_custkey AS instance_id, concat('n', CAST(c_nationkey AS STRING)) AS paper_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey > 3 THEN c_custkey - 3 END AS seed_instance_id FROM customer"
 people = lambda c: c.selectExpr("c_custkey AS instance_id", "concat('n', CAST(c_nationkey AS STRING)) AS paper_id", "CASE WHEN c_custkey % 3 = 0 AND c_custkey > 3 THEN c_custkey - 3 END AS seed_instance_id")
@@ -50,9 +55,9 @@ query("k7_split_guarantees", ["customer"], lambda c: con.split_problems(placed(c
 query("j10_collisions", ["orders"], lambda o: con.collisions(o.selectExpr("o_custkey AS instance_id", "o_orderstatus AS split")), "WITH s AS (SELECT DISTINCT o_custkey AS instance_id, o_orderstatus AS split FROM orders) SELECT a.instance_id, a.split AS \"left\", b.split AS \"right\" FROM s a JOIN s b ON a.instance_id = b.instance_id AND a.split < b.split")
 empty_pack = lambda: F.array().cast("array<struct<eid:string,text:string>>")
 query("j12_duplicates", ["documents"], lambda d: con.duplicates(d.select(F.col("lang").alias("split"), F.col("doc_id").alias("instance_id"), "text", empty_pack().alias("pack"))), "WITH n AS (SELECT lang AS split, doc_id AS instance_id, min(doc_id) OVER (PARTITION BY lang, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS first FROM documents) SELECT * FROM n WHERE instance_id <> first")
-query("j11_similar", ["supplier"], lambda s: con.similar(s.selectExpr("CAST(s_nationkey % 2 AS STRING) AS split", "s_suppkey AS instance_id", "s_name AS text")))
+query("j11_similar", ["benchmark"], lambda b: con.similar(b.select(F.lit("a").alias("split"), F.col("item_id").alias("instance_id"), "text").unionByName(b.select(F.lit("b").alias("split"), F.col("item_id").alias("instance_id"), F.concat("text", F.lit(" Indeed")).alias("text")))).select("left", "right"), "SELECT item_id AS \"left\", item_id AS \"right\" FROM benchmark")
 query("j13_rekey", ["customer"], lambda c: con.rekey(people(c), c.selectExpr("c_custkey AS old", "concat('sas_', CAST(c_custkey AS STRING)) AS new")).select("instance_id", "seed_instance_id", "paper_id"), f"WITH people AS ({PEOPLE}) SELECT concat('sas_', CAST(instance_id AS STRING)) AS instance_id, CASE WHEN seed_instance_id IS NOT NULL THEN concat('sas_', CAST(seed_instance_id AS STRING)) END AS seed_instance_id, paper_id FROM people")
-query("j14_new_ids", ["customer"], lambda c: con.new_ids(c.selectExpr("c_custkey AS old"), seed=7))
+query("j14_new_ids", ["customer"], lambda c: con.new_ids(c.selectExpr("c_custkey AS old"), c.selectExpr("concat('sas_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS instance_id"), seed=7))
 # --- plain joins and set operations ---
 query("j3_missing", ["gold", "submitted"], lambda g, p: g.join(p, "instance_id", "left_anti").select("instance_id"), "SELECT instance_id FROM [gold] WHERE instance_id NOT IN (SELECT instance_id FROM [submitted])")
 query("j4_not_allowed", ["gold", "pred"], lambda g, p: p.join(g.select("instance_id", "supporting_eids"), "instance_id").select("instance_id", F.explode(F.array_except("predicted_eids", "supporting_eids")).alias("eid")), "SELECT DISTINCT instance_id, eid FROM (SELECT p.instance_id, unnest(list_filter(p.predicted_eids, lambda x: NOT list_contains(g.supporting_eids, x))) AS eid FROM [pred] p JOIN [gold] g ON p.instance_id = g.instance_id)")
@@ -71,7 +76,9 @@ query("k1_forbidden", ["events"], lambda e: validation.forbidden(document(e)), f
 query("k2_forbidden_keys", ["events"], lambda e: validation.forbidden(document(e), values=False), WALK)
 PATH = "CASE event_id % 5 WHEN 0 THEN 'x/sample_internal_annotation.jsonl' WHEN 1 THEN 'a/b/gold.jsonl' WHEN 2 THEN 'my_predictions_v2.jsonl' WHEN 3 THEN 'gold/inputs.jsonl' ELSE 'toy_stress_cases.jsonl' END"
 query("p18_profile", ["events"], lambda e: e.selectExpr("event_id", f"{PATH} AS path").select("event_id", validation.profile_of(F.col("path")).alias("profile")), "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'internal' WHEN 1 THEN 'gold' WHEN 2 THEN 'prediction' WHEN 3 THEN 'input' ELSE 'internal' END AS profile FROM events")
-query("k3_profile_scan", ["events"], lambda e: validation.scan_by_profile(e.selectExpr("concat(event_id, '/', " + PATH + ") AS path", "parse_json('{\"verdict\": 1, \"gold\": 2}') AS document")).groupBy("profile", "path").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE event_id % 5 WHEN 2 THEN 'prediction' ELSE 'input' END AS profile, '$.gold' AS path, count(*) AS n FROM events WHERE event_id % 5 IN (2, 3) GROUP BY 1 UNION ALL SELECT 'input', '$.verdict', count(*) FROM events WHERE event_id % 5 = 3")
+query("k3_profile_scan", ["events"], lambda e: validation.scan_by_profile(e.selectExpr("concat(event_id, '/', " + PATH + ") AS path", "parse_json('{\"verdict\": \"split\", \"x\": [\"gold\"], \"gold\": {\"note\": \"verdict\"}}') AS document")).groupBy("profile", "path", "hit").agg(F.count(F.lit(1)).alias("n")),
+      """SELECT v.profile, v.path, v.hit, count(*) AS n FROM events JOIN (VALUES (1, 'gold', '$.verdict', 'value'), (2, 'prediction', '$.verdict', 'value'), (2, 'prediction', '$.x[0]', 'value'), (2, 'prediction', '$.gold', 'key'),
+        (3, 'input', '$.verdict', 'key'), (3, 'input', '$.x[0]', 'value'), (3, 'input', '$.gold', 'key'), (3, 'input', '$.gold.note', 'value')) v(k, profile, path, hit) ON event_id % 5 = v.k GROUP BY ALL""")
 query("k4_schema", ["events"], lambda e: e.select("event_id", validation.prediction_problems(F.parse_json(F.concat(F.lit('{"instance_id": "i", "verdict": "warranted", "confidence": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("0.5"), F.lit(', "predicted_eids": [], "issue_tags": ["'), F.when(F.col("event_id") % 3 == 0, "odd").otherwise("caption_chart_mismatch"), F.lit('"], "'), F.when(F.col("event_id") % 5 == 0, "extra").otherwise("abstain"), F.lit('": false}')))).alias("p")).select("event_id", F.array_join("p", ",").alias("problems")), "SELECT event_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'unknown key' END, CASE WHEN event_id % 2 = 0 THEN 'confidence' END, CASE WHEN event_id % 3 = 0 THEN 'issue_tags' END) AS problems FROM events")
 raw = lambda p: p.groupBy("instance_id").agg(F.collect_list("raw_eid").alias("eids"))
 query("a26_repeated_eids", ["pack"], lambda p: raw(p).select("instance_id", F.explode(validation.repeated(F.col("eids"))).alias("eid")), "SELECT instance_id, raw_eid AS eid FROM [pack] GROUP BY 1, 2 HAVING count(*) > 1")
@@ -91,13 +98,14 @@ query("m3_loo_nb", ["labelled"], leakage.leave_one_out_bayes, f"WITH {BAYES} SEL
 query("m2_permutation", ["labelled"], leakage.permutation_test)
 query("w10_adjacent", ["labelled"], leakage.adjacent_equal, "WITH s AS (SELECT label = lag(label) OVER (ORDER BY instance_id) AS same FROM [labelled]) SELECT count(*) FILTER (same) AS matches, count(*) AS n FROM s")
 query("m5_order_test", ["labelled"], leakage.order_test)
-inputs = lambda p: records(p).select("instance_id", F.lit("two words").alias("claim"), F.col("evidence").alias("pack"))
+inputs = lambda p: records(p).select("instance_id", F.lit("two words").alias("claim"), F.col("evidence").alias("pack"), F.transform("evidence", lambda u: u["eid"]).alias("allowed"), "claim.claim_type", "claim.scope", "paper.paper_id")
 query("p19_features", ["pack"], lambda p: leakage.features(inputs(p)),
       """WITH s AS (SELECT instance_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS total, arg_max(source_kind, ordinal) AS last, arg_min(source_kind, ordinal) AS first, CAST(max(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS longest, CAST(min(length(CAST(CAST(l_quantity AS INTEGER) AS STRING)) + 9) AS DOUBLE) AS shortest FROM [pack] GROUP BY instance_id)
       SELECT instance_id, 'evidence_count' AS name, n AS value FROM s UNION ALL SELECT instance_id, 'evidence_len_total', total FROM s UNION ALL SELECT instance_id, 'evidence_len_mean', round(total / n, 9) FROM s UNION ALL SELECT instance_id, 'claim_length_words', CAST(2 AS DOUBLE) FROM s
       UNION ALL SELECT instance_id, 'id_digits', CAST(length(CAST(instance_id AS STRING)) AS DOUBLE) FROM s UNION ALL SELECT instance_id, concat('modality=', modality), CAST(count(*) AS DOUBLE) FROM [pack] GROUP BY instance_id, modality UNION ALL SELECT instance_id, concat('last_source_kind=', last), CAST(1 AS DOUBLE) FROM s
       UNION ALL SELECT instance_id, 'claim_length_chars', CAST(9 AS DOUBLE) FROM s UNION ALL SELECT instance_id, 'evidence_len_max', longest FROM s UNION ALL SELECT instance_id, 'evidence_len_min', shortest FROM s UNION ALL SELECT instance_id, 'id_length', CAST(length(CAST(instance_id AS STRING)) AS DOUBLE) FROM s
-      UNION ALL SELECT instance_id, concat('source_kind=', source_kind), CAST(count(*) AS DOUBLE) FROM [pack] GROUP BY instance_id, source_kind UNION ALL SELECT instance_id, concat('first_source_kind=', first), CAST(1 AS DOUBLE) FROM s""")
+      UNION ALL SELECT instance_id, concat('source_kind=', source_kind), CAST(count(*) AS DOUBLE) FROM [pack] GROUP BY instance_id, source_kind UNION ALL SELECT instance_id, concat('first_source_kind=', first), CAST(1 AS DOUBLE) FROM s
+      UNION ALL SELECT instance_id, 'allowed_eids_count', n FROM s UNION ALL SELECT instance_id, v.name, CAST(1 AS DOUBLE) FROM s CROSS JOIN (VALUES ('claim_type=ablation'), ('scope=s')) v(name) UNION ALL SELECT instance_id, concat('paper_id=p', CAST(instance_id % 7 AS STRING)), CAST(1 AS DOUBLE) FROM s""")
 FLOAT_FEATURES = "SELECT instance_id, name, value FROM (SELECT l.doc_id AS instance_id, 'chars' AS name, CAST(n_chars AS DOUBLE) AS value FROM labels l JOIN documents d ON l.doc_id = d.doc_id UNION ALL SELECT l.doc_id, concat('lang=', lang), CAST(1 AS DOUBLE) FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
 
@@ -141,5 +149,5 @@ IDS = "instance_id, line, part"
 query("n1_measures", ["lineitem"], lambda x: numeric.check(lines(x)).select("instance_id", "line", "part", F.posexplode("measures")).select("instance_id", "line", "part", "pos", "col.label", "col.value", "col.eid"), f"WITH l AS ({LINES.format(lineitem='lineitem')}) SELECT {IDS}, CAST(0 AS INTEGER) AS pos, 'Method X' AS label, q AS value, 'e1' AS eid FROM l UNION ALL SELECT {IDS}, 1, 'Baseline', b, 'e1' FROM l")
 query("n8_n14_checks", ["lineitem"], lambda x: numeric.check(lines(x)).select("instance_id", "line", "part", F.inline("checks")).select("instance_id", "line", "part", "status", F.array_join("eids", ",").alias("eids")),
       f"WITH l AS ({LINES.format(lineitem='lineitem')}) SELECT {IDS}, CASE WHEN CASE " + " ".join(f"WHEN n % {len(CASES)} = {i} THEN {t}" for i, (_, t) in enumerate(CASES)) + " END THEN 'ok' ELSE 'failed' END AS status, 'e1' AS eids FROM l")
-query("n15_override", ["lineitem"], lambda x: numeric.override(numeric.check(lines(x).select("*", F.lit("warranted").alias("verdict"), F.lit(False).alias("abstain"), F.lit(0.5).alias("confidence"), F.array().cast("array<string>").alias("issue_tags"), F.array().cast("array<string>").alias("predicted_eids"), F.array(F.lit("e1")).alias("allowed"), F.lit("r").alias("rationale_short")))).groupBy("verdict", "confidence").agg(F.count(F.lit(1)).alias("n")),
-      f"WITH l AS ({LINES.format(lineitem='lineitem')}), s AS (SELECT CASE " + " ".join(f"WHEN n % {len(CASES)} = {i} THEN {t}" for i, (_, t) in enumerate(CASES)) + " END AS good FROM l) SELECT CASE WHEN good THEN 'warranted' ELSE 'contradicted' END AS verdict, CAST(CASE WHEN good THEN 0.5 ELSE 0.9 END AS DOUBLE) AS confidence, count(*) AS n FROM s GROUP BY 1, 2")
+query("n15_override", ["lineitem"], lambda x: numeric.override(numeric.check(lines(x).select("*", F.lit("warranted").alias("verdict"), F.lit(False).alias("abstain"), F.lit(0.5).alias("confidence"), F.array().cast("array<string>").alias("issue_tags"), F.array().cast("array<string>").alias("predicted_eids"), F.array(F.lit("e1")).alias("allowed"), F.lit("r").alias("rationale_short")))).select("instance_id", "line", "part", "verdict", "confidence", F.array_join("issue_tags", ",").alias("tags"), F.array_join("predicted_eids", ",").alias("eids")),
+      f"WITH l AS ({LINES.format(lineitem='lineitem')}), s AS (SELECT {IDS}, CASE " + " ".join(f"WHEN n % {len(CASES)} = {i} THEN {t}" for i, (_, t) in enumerate(CASES)) + f" END AS good FROM l) SELECT {IDS}, CASE WHEN good THEN 'warranted' ELSE 'contradicted' END AS verdict, CAST(CASE WHEN good THEN 0.5 ELSE 0.9 END AS DOUBLE) AS confidence, CASE WHEN good THEN '' ELSE 'numerical_inconsistency' END AS tags, CASE WHEN good THEN '' ELSE 'e1' END AS eids FROM s")

@@ -53,3 +53,41 @@ def test_models(spark, tmp_path, monkeypatch):
     import os
 
     assert (os.environ["A_NAME"], os.environ.pop("B_NAME")) == ("old", "two")
+
+
+def test_lines_of_several_splits_are_numbered(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        (tmp_path / "a.jsonl").write_text("".join(f'{{"x": {k}}}\n' + "\t\n\u2003\n" * (k % 3) for k in range(400)), encoding="utf-8")
+        rows = jsonl.read_lines(spark, str(tmp_path)).selectExpr("line", "variant_get(document, '$.x', 'int') AS x").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    line, want = 1, []
+    for k in range(400):
+        want.append((line, k))
+        line += 1 + 2 * (k % 3)
+    assert sorted(map(tuple, rows)) == want
+
+
+def test_splits_refuse_broken_lines_and_name_records_without_an_id(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    good = '{"instance_id": "i", "claim": {"text": "c"}, "evidence_pack": [{"eid": "e1", "text": "t"}]}'
+    (tmp_path / "a/x.jsonl").write_text(good + "\n\n" + good.replace('"instance_id": "i", ', "") + '\n[1]\n{"gold": 1}\n')
+    (tmp_path / "a/internal_annotation.jsonl").write_text("{")
+    got = jsonl.collect_splits(spark, {"s": str(tmp_path / "a")}).collect()
+    assert sorted((r["split"], r["instance_id"], r["text"], r["pack"][0]["eid"]) for r in got) == [("s", "<x.jsonl:3>", "c", "e1"), ("s", "i", "c", "e1")]
+    (tmp_path / "a/y.jsonl").write_text("{\n")
+    with pytest.raises(PySparkException, match="y.jsonl:1"):
+        jsonl.collect_splits(spark, {"s": str(tmp_path / "a")}).collect()
+
+
+def test_files_of_one_name_go_by_the_order_of_their_paths(spark, tmp_path):
+    for folder, kind in (("b", "first"), ("a", "second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text(f'{{"instance_id": "i", "stress": {{"is_stress_case": true, "stress_type": "{kind}"}}}}')
+    assert jsonl.stress_metadata(spark, [str(tmp_path / "b/x.jsonl"), str(tmp_path / "a/x.jsonl")]).first()["stress_type"] == "second"
+
+
+def test_a_lenient_scan_keeps_broken_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\nbroken\n\n')
+    assert sorted((r["text"], r["j"]) for r in jsonl.read_lenient(spark, str(tmp_path / "a.jsonl")).selectExpr("text", "to_json(document) AS j").collect()) == [("broken", None), ('{"x": 1}', '{"x":1}')]

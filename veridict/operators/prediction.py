@@ -38,8 +38,9 @@ def is_list(value: Column, path: str) -> Column:
 
 
 def strings(value: Column, path: str) -> Column:
-    """A list of strings; anything else is an empty list."""
-    return F.coalesce(F.try_variant_get(value, path, "array<string>"), F.array().cast("array<string>"))
+    """The strings of a list, other elements dropped; anything else is an empty list."""
+    items = F.filter(F.try_variant_get(value, path, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    return F.coalesce(F.transform(items, lambda x: F.variant_get(x, "$", "string")), F.array().cast("array<string>"))
 
 
 def problems(value: Column) -> Column:

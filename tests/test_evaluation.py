@@ -20,7 +20,9 @@ def frames(spark, rows):
 
 
 def areas(spark, rows):
-    r = selective.summary(selective.curve(selective.units(*frames(spark, rows)))).first()
+    units = selective.units(*frames(spark, rows))
+    r = selective.areas(units).first()
+    assert tuple(r) == tuple(selective.summary(selective.curve(units)).first())
     return r["aurc"], r["augrc"], r["aurc_voluntary"]
 
 
@@ -92,3 +94,47 @@ def test_a_partial_submission_is_not_scored(spark, tmp_path):
 def test_flagship_golden_values(spark):
     r = registry.QUERIES["w4_aurc"](spark, "/root/testdata/sf0.01").first()
     assert (r["aurc"], r["augrc"]) == (pytest.approx(0.278562935), pytest.approx(0.14195908))
+
+
+def test_one_confidence_for_all_rows(spark, monkeypatch):
+    """A tie of all rows is dealt out in ranges, and its points, ranks and areas are those of the definition."""
+    from veridict.sources import tables
+
+    monkeypatch.setattr(tables, "AT_ONCE", 100)
+    rows = [("warranted", "warranted" if k % 4 else "overclaimed", 0.5, False) for k in range(1234)]
+    units = selective.units(*frames(spark, rows))
+    points = selective.curve(units)
+    assert points.rdd.getNumPartitions() > 1 and sorted(p["k"] for p in points.collect()) == list(range(1, 1235))
+    got = selective.areas(units).first()
+    assert got["aurc"] == pytest.approx(309 / 1234, abs=1e-9) and tuple(got) == tuple(selective.summary(points).first())
+    ranks = selective.rank(units).collect()
+    assert [r["instance_id"] for r in sorted(ranks, key=lambda r: r["place"])] == sorted(r["instance_id"] for r in ranks)
+    assert sorted(r["place"] for r in ranks) == list(range(1, 1235))
+
+
+def test_harmonic_numbers(spark):
+    from pyspark.sql import functions as F
+
+    got = {r["n"]: r["h"] for r in spark.createDataFrame([(n,) for n in (0, 1, 2, 64, 65, 1000, 100_000)], "n long").select("n", selective.harmonic(F.col("n")).alias("h")).collect()}
+    for n, h in got.items():
+        assert h == pytest.approx(sum(1 / i for i in range(1, n + 1)), abs=1e-11)
+
+
+def test_the_full_report(spark, tmp_path):
+    rng = random.Random(4)
+    verdicts = ["warranted", "overclaimed", "contradicted", "insufficient"]
+    rows = [(rng.choice(verdicts), rng.choice(verdicts[1:]), rng.random(), rng.random() < 0.2) for _ in range(60)]
+    gold, pred = frames(spark, rows)
+    stress = spark.createDataFrame([(f"i{k:03d}", k % 2 == 0, "a" if k % 4 else "b") for k in range(50)], "instance_id string, is_stress_case boolean, stress_type string")
+    found = reports.report(gold, pred, stress, budget=10.0)
+    one = reports.score(gold, pred, 10.0).first()
+    for name, value in (("accuracy", found["verdict"]["accuracy"]), ("macro_f1", found["verdict"]["macro_f1"]), ("sfwr", found["severe_false_warrants"]["rate"]), ("ece", found["calibration"]["ece"]), ("aurc", found["selective_risk"]["aurc"]), ("composite", found["composite"]["composite"])):
+        assert value == one[name]
+    assert [c["class"] for c in found["classes"]] == sorted(verdicts) and sum(sum(r.values()) for r in found["confusion_matrix"].values()) == found["coverage"]["answered"]
+    assert len(found["composite"]["notes"]) == 3 - 1 + (found["composite"]["issue_f1"] is None)  # no warranted answer, no cost reported
+    assert {(s["slice"], s["kind"]) for s in found["stress"]["slices"]} == {("clean", "all"), ("stress", "all"), ("stress", "a"), ("stress", "b")}
+    assert reports.write_report(found, str(tmp_path / "r.json"), str(tmp_path / "r.md")) == 0
+    text = (tmp_path / "r.md").read_text()
+    assert "## Confusion matrix" in text and "### Slices" in text and "full by construction" in text
+    part = reports.report(gold, pred.limit(3))
+    assert part["verdict"] is None and part["submission"]["missing"] == 57 and reports.write_report(part, str(tmp_path / "p.json"), str(tmp_path / "p.md")) == 1

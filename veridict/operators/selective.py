@@ -1,7 +1,7 @@
 """Selective risk: ranking by confidence, and the risk-coverage curve with expected values within ties.
 
 Rows are summed up by confidence first. Running sums go over bins of the confidence (a fixed number of rows), then over
-the groups within each bin, so that no task has all rows.
+the groups within each bin, so that no task has all rows, nor all of one confidence.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridict.operators.evaluation import ratio
+from veridict.sources.tables import shared, stepped
 
 BINS = 4096
 LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -42,16 +43,22 @@ def groups(rows: DataFrame) -> DataFrame:
 
 
 def rank(rows: DataFrame) -> DataFrame:
-    """Places by confidence downwards, then id; abstained and missing ones last."""
-    of = groups(rows).select("answered", "confidence", "before_size")
-    inside = Window.partitionBy("answered", "confidence").orderBy("instance_id")
-    place = F.col("before_size") + F.row_number().over(inside)
-    return rows.join(of, ["answered", "confidence"]).select("instance_id", "answered", "error", "severe", place.cast("long").alias("place"))
+    """Places by confidence downwards, then id; abstained and missing ones last.
+
+    One sort by ranges of (confidence, id): a row's place is its number in its range plus the rows of the ranges before,
+    of which one count each is gathered.
+    """
+    ordered = rows.orderBy(F.desc("answered"), F.desc("confidence"), "instance_id").withColumn("__at", F.monotonically_increasing_id())
+    placed = shared(ordered.select("instance_id", "answered", "error", "severe", F.shiftright("__at", 33).alias("__range"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__in")))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.col("__in") + 1
+    return placed.join(starts, "__range").select("instance_id", "answered", "error", "severe", place.cast("long").alias("place"))
 
 
 def curve(rows: DataFrame) -> DataFrame:
     """A point for each k: coverage, risk, generalised risk, SFWR, whether the k-th is still answered."""
-    steps = groups(rows).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))).alias("step"))
+    steps = stepped(groups(rows), "size", "step")
     share = F.col("step") / F.col("size")
     at = lambda c: F.col(f"before_{c}") + share * F.col(c)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
@@ -60,6 +67,32 @@ def curve(rows: DataFrame) -> DataFrame:
     return points
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: added up when short, else by Euler and Maclaurin to some fifteen digits."""
+    x = n.cast("double")
+    long = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, 4)) - 1 / (252 * F.pow(x, 6))
+    short = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(64)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
+    return F.when(n == 0, 0.0).when(n <= 64, short).otherwise(long)
+
+
+def areas(rows: DataFrame) -> DataFrame:
+    """What ``summary`` has, from the groups of equal confidence, without a row for each point.
+
+    Within a group the k-th risk is (a + b k) / k, whose sum over the group is b times its size plus a times a difference
+    of harmonic numbers; the generalised risk is linear in k.
+    """
+    known = groups(rows).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    size, error, n0, e0 = (F.col(c) for c in ("size", "error", "before_size", "before_error"))
+    b = error / size
+    risk = size * b + (e0 - n0 * b) * (harmonic(n0 + size) - harmonic(n0))
+    generalized = (size * e0 + error * (size + 1) / 2) / F.col("total")
+    mean = lambda x, n: F.round(F.coalesce(F.sum(x) / F.sum(n), F.lit(0.0)), 9)
+    answered = lambda x: F.when(F.col("answered"), x)
+    return known.select("size", "answered", risk.alias("risk"), generalized.alias("generalized")).agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("points"), mean("risk", "size").alias("aurc"), mean("generalized", "size").alias("augrc"), mean(answered(F.col("risk")), answered(F.col("size"))).alias("aurc_voluntary")
+    )
+
+
 def summary(points: DataFrame) -> DataFrame:
     """Areas under the risk and the generalised risk, over all points and over those answered; zero if there are none."""
     mean = lambda c, when=None: F.round(F.coalesce(F.avg(F.when(when, F.col(c)) if when is not None else F.col(c)), F.lit(0.0)), 9)

@@ -72,6 +72,6 @@ query("a17_gate", ["gold", "submitted"], ev.gate, "WITH m AS (SELECT count(*) AS
 query("w1_rank", ["gold", "pred"], lambda g, p: sel.rank(sel.units(g, p)), f"WITH {UNITS} SELECT instance_id, answered, error, severe, row_number() OVER (ORDER BY answered DESC, confidence DESC, instance_id) AS place FROM units")
 query("w2_ties", ["gold", "pred"], lambda g, p: sel.groups(sel.units(g, p)).where("answered").select("confidence", "size", "before_size"), f"WITH {UNITS}, t AS (SELECT confidence, count(*) AS size FROM units WHERE answered GROUP BY confidence) SELECT confidence, size, CAST(coalesce(sum(size) OVER (ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_size FROM t")
 query("w3_curve", ["gold", "pred"], points(lambda c: c.selectExpr("k", "round(coverage, 9) AS coverage", "round(risk, 9) AS risk", "round(generalized, 9) AS generalized", "round(sfwr, 9) AS sfwr", "voluntary")), f"WITH {UNITS}, {POINTS} SELECT k, round(coverage, 9) AS coverage, round(risk, 9) AS risk, round(generalized, 9) AS generalized, round(sfwr, 9) AS sfwr, voluntary FROM points")
-query("w4_aurc", ["gold", "pred"], points(sel.summary), f"WITH {UNITS}, {POINTS} SELECT count(*) AS points, round(avg(risk), 9) AS aurc, round(avg(generalized), 9) AS augrc, round(avg(risk) FILTER (voluntary), 9) AS aurc_voluntary FROM points")
+query("w4_aurc", ["gold", "pred"], lambda g, p: sel.areas(sel.units(g, p)), f"WITH {UNITS}, {POINTS} SELECT count(*) AS points, round(avg(risk), 9) AS aurc, round(avg(generalized), 9) AS augrc, round(avg(risk) FILTER (voluntary), 9) AS aurc_voluntary FROM points")
 query("w5_fixed_coverage", ["gold", "pred"], points(sel.risk_at), f"WITH {UNITS}, {POINTS}, n AS (SELECT count(*) AS n FROM points), l AS (SELECT CAST(x AS DOUBLE) AS level, least(n, greatest(1, CAST(ceil(CAST(x AS DOUBLE) * n) AS BIGINT))) AS k FROM (VALUES (0.1), (0.2), (0.3), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9), (1.0)) v(x), n) SELECT level, l.k, round(risk, 9) AS risk, round(sfwr, 9) AS sfwr FROM l JOIN points p ON l.k = p.k")
 query("w6_coverage_at_sfwr", ["gold", "pred"], points(sel.coverage_at), f"WITH {UNITS}, {POINTS} SELECT CAST(t AS DOUBLE) AS target, round(coalesce(max(coverage) FILTER (voluntary AND sfwr <= CAST(t AS DOUBLE)), 0), 9) AS coverage FROM (VALUES (0.0), (0.05), (0.1), (0.2)) v(t) CROSS JOIN points GROUP BY t")

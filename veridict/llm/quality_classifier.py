@@ -52,9 +52,10 @@ def models(flagged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     constant, so their ratio is that of the two models. Words and pairs of all documents are counted.
     """
     sums = flagged.select("text", "good").mapInPandas(_counts, "bucket int, good long, every long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every"))
-    model = sums.toPandas()  # one row a bucket at most
+    model = sums.toArrow()  # one row a bucket at most
     good, every = np.zeros(WORDS + PAIRS), np.zeros(WORDS + PAIRS)
-    good[model["bucket"]], every[model["bucket"]] = model["good"], model["every"]
+    at = model["bucket"].to_numpy()
+    good[at], every[at] = model["good"].to_numpy(), model["every"].to_numpy()
     for part, prior in ((slice(0, WORDS), WORD_PRIOR), (slice(WORDS, None), PAIR_PRIOR)):
         every[part] *= good[part].sum() / max(every[part].sum(), 1.0)
         every[part] += prior

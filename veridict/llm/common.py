@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII blanks; both forms name the same set.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-#: A counted table up to this many bytes is sent to all executors.
-BROADCAST_BYTES = 32 << 20
+#: A counted table up to this many bytes in memory is sent to all executors, and what a row takes there besides its data.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 100
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +69,7 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
 def measured(few: DataFrame, row_bytes: int) -> DataFrame:
     """``few`` written once and counted; marked to be broadcast if it is small, and joined by a shuffle if it is not."""
     few = shared(few)
-    return F.broadcast(few) if few.count() * row_bytes <= BROADCAST_BYTES else few
+    return F.broadcast(few) if few.count() * (row_bytes + ROW_BYTES) <= BROADCAST_BYTES else few
 
 
 def whole_text(name: str = "text") -> Column:

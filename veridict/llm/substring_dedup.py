@@ -253,16 +253,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """
     long = docs.where(F.octet_length("text") >= length)
     every, drop_every = stored(long.mapInPandas(_runs(length, gram), "k1 long, k2 long, place long, v long, s1 long, s2 long, twice boolean"))
-    common = every.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("v")
+    # of a hash with very many runs the larger side of a join is split, if the other is a table of its own
+    common, drop_common = stored(every.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("v"))
     candidates, _ = stored(every.join(common.hint("merge"), "v", "left_semi"))
     drop_every()
+    drop_common()
     windows = F.col("place").bitwiseAND(F.lit(0xFFF))
     kinds = candidates.groupBy("v", "s1", "s2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "place")).alias("one"), F.max("twice").alias("twice"))
     kinds = kinds.select("v", "s1", "s2", "times", "twice", "one.*")
     by_hash = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any"), F.sum(windows + (length - 1)).alias("bytes"), F.min("times").alias("least")).where("(kinds > 1 OR any) AND least = 1")
     # where all runs of a hash stand twice they are settled as wholes
     parts = F.ceil(F.col("bytes") / float(shard_bytes)).cast("int")
-    open_, _ = stored(kinds.join(by_hash.select("v", parts.alias("parts")), "v").drop("twice"))
+    mixed, drop_mixed = stored(by_hash.select("v", parts.alias("parts")))
+    open_, _ = stored(kinds.join(mixed.hint("merge"), "v").drop("twice"))
+    drop_mixed()
     total, spread = open_.agg(F.sum(windows + (length - 1)), F.sum(F.when(F.col("parts") > 1, windows))).first()
     shards, slices = max(1, -(-(total or 0) // shard_bytes)), min(1 << 16, -(-(spread or 0) * 36 // shard_bytes))
     shard = F.pmod(F.xxhash64("v", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("s1"), F.col("parts"))).otherwise(0)), F.lit(shards)).cast("int")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from veridict.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from veridict.llm.common import documents, shared_folder
+from veridict.llm.common import documents, files, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages on ``documents``; what a stage returns is written to the shared folder and read again, and removed when
+    the next one's is there. A table without rows goes through all stages; columns that ``documents`` has besides are kept
+    up to the last."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            system, at = files(f"{folder}/{k - 1}")
+            system.delete_dir(at)
     return docs

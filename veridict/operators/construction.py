@@ -129,9 +129,12 @@ def collisions(rows: DataFrame, key: str = "instance_id") -> DataFrame:
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
-    """Within a split, rows with the same normalised claim and the same evidence: each with the first of its class."""
+    """Within a split, rows with the same normalised claim and the same evidence: each with the first of its class. Texts
+    are read once; their digests are what is written, grouped and joined."""
+    from veridict.sources.tables import shared
+
     sign = F.sha2(F.concat_ws("\x1f", normal(F.col("text")), F.to_json(fingerprint(F.col("pack")))), 256)
-    signed = rows.select("split", "instance_id", sign.alias("sign"))
+    signed = shared(rows.select("split", "instance_id", sign.alias("sign")))
     first = signed.groupBy("split", "sign").agg(F.min("instance_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return signed.join(first, ["split", "sign"]).where("instance_id <> first").select("split", "first", "instance_id")
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from veridict.llm import bpe
 from veridict.llm import training_order as order
 
 
@@ -32,3 +33,29 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert order.materialise(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path)).count() == 0
+
+
+def test_ids_are_those_of_the_vocabularys_pattern(monkeypatch):
+    """The encoder of op4, which cuts by the pattern itself, gives the same ids; so do texts cut at runs of blanks."""
+    monkeypatch.setattr(order, "LONG_RUN", 2)
+    rng = np.random.default_rng(3)
+    some = [*"ab'sdtmlvreé9 \n\t\r\x1c\x85\xa0\u2003\u3000\0_!.“𝟘中\u0301", "'ll", "'ve", "'re", "  ", "\n\n", order.NEVER, " the", "höhle"]
+    for n in rng.integers(0, 40, 3000):
+        text = "".join(rng.choice(some, n))
+        want = np.frombuffer(bpe.codec().encode(text), "<u4")
+        assert order.token_ids(text).tolist() == want.tolist(), repr(text)
+        cut = np.concatenate([order.token_ids(part) for part in order.without_long_blanks(text)])
+        assert cut.tolist() == want.tolist(), repr(text)
+
+
+def test_very_long_runs_of_blanks(spark, tmp_path):
+    """Of a million blanks the pattern's backtracking takes more stack than it has."""
+    run = 1_200_000
+    texts = ["a" + " " * run + "cat " + "\n" * run + " b\n", " " * run, "x" + "\n" * run, "the cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.asDict() for r in order.materialise(df, str(tmp_path)).collect()]
+    stored = order.read_slots(str(tmp_path), 0, len(got))
+    for i, text in enumerate(texts):
+        parts = sorted((r["part"], r["slot"], r["n_tokens"]) for r in got if r["doc_id"] == i)
+        have = np.concatenate([stored[slot, :n] for _, slot, n in parts])
+        assert (have == np.frombuffer(bpe.codec().encode(text), "<u4")).all()

@@ -6,8 +6,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +26,12 @@ TOKENS, PER_SHARD = 256, 16_384
 MOST_RANGES = 50_000
 KEY = 0x5EED
 ROUNDS = 6
+#: The vocabularies' pattern, and one that cuts alike with less backtracking.
+PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s++$|\s+(?!\S)|\s"}
+#: What the patterns call blank, and the length from which on runs of it are cut by hand where the pattern's stack is too small.
+BLANKS, LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++"), 1000
+#: tiktoken's buffers come with a search for special tokens, where none at all would match everywhere; this one is not allowed, so it is ordinary text.
+NEVER, ALLOWED = "\0\0never\0\0", frozenset()
 
 
 class Permutation:
@@ -64,7 +70,32 @@ def _tokenizer(path: str | None):
     import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path or default_path()), special_tokens={})
+    ranks, pattern = read_ranks(path or default_path()), public_tokenizers.PATTERN
+    return tiktoken.Encoding("own", pat_str=PATTERNS.get(pattern, pattern), mergeable_ranks=ranks, special_tokens={NEVER: max(ranks.values()) + 1})
+
+
+def without_long_blanks(text: str) -> list[str]:
+    """The text cut around its long runs of blanks, where the pattern cuts too: before them, and before the last blank,
+    which belongs to what follows. A run at the end is one piece."""
+    parts, at = [], 0
+    for run in BLANKS.finditer(text):
+        start, end = run.span()
+        if end - start >= LONG_RUN and end < len(text):
+            parts += [text[at:start], text[start : end - 1]]
+            at = end - 1
+    return [*parts, text[at:]]
+
+
+def token_ids(text: str, path: str | None = None) -> np.ndarray:
+    """Ids of a whole text, without special tokens."""
+    encode = _tokenizer(path)._core_bpe.encode_to_tiktoken_buffer
+    try:
+        return np.frombuffer(encode(text, ALLOWED), np.uint32)
+    except ValueError:
+        parts = without_long_blanks(text)
+        if len(parts) == 1:
+            raise
+        return np.concatenate([np.frombuffer(encode(part, ALLOWED), np.uint32) for part in parts])
 
 
 def filling(path: str | None = None) -> int:
@@ -115,10 +146,10 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
     docs = docs if fixed else shared(docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, n, check = _tokenizer(path)._core_bpe.encode_ordinary, 0, 0
+        n, check = 0, 0
         for batch in batches:
             for text in batch["text"]:
-                had = len(encode(text))
+                had = len(token_ids(text, path))
                 n, check = n - (-had // tokens), (check * 1000003 + had) & 0x7FFFFFFF
         yield pd.DataFrame({"partition": [TaskContext.get().partitionId()], "n": [n], "check": [check]})
 
@@ -133,7 +164,7 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
     ranges = min(shards, MOST_RANGES)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, own = _tokenizer(path)._core_bpe.encode_ordinary, TaskContext.get().partitionId()
+        own = TaskContext.get().partitionId()
         fills = np.full(tokens, fill, f"<u{width}").tobytes()
         number, check = known.value[0].get(own, 0), 0
         for batch in batches:
@@ -141,11 +172,11 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, tokens: int = TOKE
                 some = batch.iloc[low : low + 1000]
                 counts, had, payload = [], [], []
                 for text in some["text"]:
-                    found = encode(text)
+                    found = token_ids(text, path)
                     n = len(found)
                     check = (check * 1000003 + n) & 0x7FFFFFFF
                     sequences = -(-n // tokens)
-                    data = array("H" if width == 2 else "I", found).tobytes() + fills[: width * (sequences * tokens - n)]
+                    data = found.astype(f"<u{width}").tobytes() + fills[: width * (sequences * tokens - n)]
                     counts.append(sequences)
                     if sequences:
                         had += [tokens] * (sequences - 1)

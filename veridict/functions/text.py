@@ -50,3 +50,9 @@ def glob_pattern(glob: str) -> str:
 
 def p_value_class(p: Column) -> Column:
     return F.when(p < 0.05, "leak").when(p < 0.20, "suspect").otherwise("clean")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double half up at ``digits``, of the product as SQL engines round it; Spark's own goes by the decimal that it
+    prints, so 0.5045 (504.49999999999994 thousandths) becomes 0.505 there."""
+    return F.round(x * 10.0**digits) / 10.0**digits

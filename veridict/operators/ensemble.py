@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridict.functions.text import rounded
+
 RULES = ("unparsable_json", "low_confidence", "empty_evidence", "checker_conflict", "ensemble_split")
 DECISIVE = ("warranted", "overclaimed", "contradicted")
 LOWER_IS_BETTER = ("sfwr", "augrc")
@@ -14,9 +16,13 @@ FULL_COVERAGE_ONLY = ("accuracy", "macro_f1", "evidence_f1")
 def majority(ballots: DataFrame) -> DataFrame:
     """Winner of each instance (ties: first by name), its wins, and the share of all ballots, unparsed ones included.
 
-    Two sums: per (instance, verdict), then per instance, so that one instance's ballots are never sorted in one place.
+    Two sums: per (instance, verdict), then per instance. Confidences are added up in the order of ballots, since the last
+    digit of a sum of doubles depends on it and may decide a threshold; the running sum is sorted on disk where it must.
     """
-    sums = ballots.groupBy("instance_id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"), F.min_by("no_eids", "ballot_no").alias("no_eids"))
+    in_order = Window.partitionBy("instance_id", "verdict").orderBy("ballot_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ballots.withColumn("__sum", F.sum("confidence").over(in_order)).withColumn("__place", F.count(F.lit(1)).over(in_order))
+    mean = F.max_by("__sum", "__place") / F.count("confidence")
+    sums = running.groupBy("instance_id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.when(F.count("confidence") > 0, mean).alias("mean"), F.min_by("no_eids", "ballot_no").alias("no_eids"))
     best = F.min(F.when(F.col("verdict").isNotNull(), F.struct((-F.col("n")).alias("minus"), "verdict", "mean", "no_eids"))).alias("best")
     both = sums.groupBy("instance_id").agg(best, F.sum("n").alias("ballots"))
     wins = -F.col("best.minus")
@@ -36,7 +42,7 @@ def abstain(votes: DataFrame, threshold: float = 0.9, unanimous: bool = False, d
     fired = F.filter(F.array(*[F.when(tests[r], r) for r in RULES if r not in disabled or r == "unparsable_json"]), lambda r: r.isNotNull())
     out = votes.withColumn("fired", fired).withColumn("abstain", F.size("fired") > 0)
     reason = F.format_string("abstained (%s); majority vote was %s at agreement %.2f, stated confidence %.2f.", F.array_join("fired", ", "), F.coalesce("verdict", F.lit("none")), F.coalesce("agreement", F.lit(0.0)), F.coalesce("mean_confidence", F.lit(0.0)))
-    return out.select("instance_id", F.when(F.col("abstain"), "insufficient").otherwise(F.col("verdict")).alias("verdict"), F.round(F.coalesce(F.col("agreement") * F.col("mean_confidence"), F.lit(0.0)), 4).alias("confidence"), "abstain", "fired", F.when(F.col("abstain"), F.left(reason, F.lit(500))).alias("rationale_short"))
+    return out.select("instance_id", F.when(F.col("abstain"), "insufficient").otherwise(F.col("verdict")).alias("verdict"), rounded(F.coalesce(F.col("agreement") * F.col("mean_confidence"), F.lit(0.0)), 4).alias("confidence"), "abstain", "fired", F.when(F.col("abstain"), F.left(reason, F.lit(500))).alias("rationale_short"))
 
 
 def rule_counts(emitted: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ emitted = lambda b: ensemble.abstain(ensemble.majority(b), threshold=0.95)  # no
 query("x_abstain", ["ballots"], lambda b: emitted(b).select("instance_id", "verdict", "abstain", F.array_join("fired", ",").alias("fired")), f"WITH {VOTES}, {FIRED} SELECT instance_id, CASE WHEN fired <> '' THEN 'insufficient' ELSE verdict END AS verdict, fired <> '' AS abstain, fired FROM emitted")
 conflicting = lambda b: ensemble.abstain(ensemble.majority(b).withColumn("conflict", F.col("instance_id") % 3 == 0), threshold=0.95, conflict="conflict")
 query("x4_conflict", ["ballots"], lambda b: conflicting(b).select("instance_id", "verdict", F.array_join("fired", ",").alias("fired")), f"WITH {VOTES}, {FIRED}, c AS (SELECT instance_id, verdict, concat_ws(',', nullif(replace(replace(fired, ',ensemble_split', ''), 'ensemble_split', ''), ''), CASE WHEN verdict <> 'contradicted' AND instance_id % 3 = 0 THEN 'checker_conflict' END, CASE WHEN contains(fired, 'ensemble_split') THEN 'ensemble_split' END) AS fired FROM emitted) SELECT instance_id, CASE WHEN fired <> '' THEN 'insufficient' ELSE verdict END AS verdict, fired FROM c")
-query("x6_emission", ["ballots"], lambda b: emitted(b).select("instance_id", F.round("confidence", 3).alias("confidence"), (F.col("rationale_short").isNotNull()).alias("explained")), f"WITH {VOTES}, {FIRED} SELECT instance_id, round(round(coalesce(agreement * mean_confidence, 0), 4), 3) AS confidence, fired <> '' AS explained FROM emitted")
+query("x6_emission", ["ballots"], lambda b: emitted(b).select("instance_id", tx.rounded(F.col("confidence"), 3).alias("confidence"), (F.col("rationale_short").isNotNull()).alias("explained")), f"WITH {VOTES}, {FIRED} SELECT instance_id, round(round(coalesce(agreement * mean_confidence, 0), 4), 3) AS confidence, fired <> '' AS explained FROM emitted")
 query("x7_ablation", ["ballots"], lambda b: ensemble.rule_counts(ensemble.abstain(ensemble.majority(b), threshold=0.95, disabled=("low_confidence", "ensemble_split"))), f"WITH {VOTES}, {FIRED} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(fired, ',')) AS rule FROM emitted) WHERE rule IN ('unparsable_json', 'empty_evidence') GROUP BY rule")
 query("a27_rule_counts", ["ballots"], lambda b: ensemble.rule_counts(emitted(b)), f"WITH {VOTES}, {FIRED} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(fired, ',')) AS rule FROM emitted) WHERE rule <> '' GROUP BY rule")
 RUNS = "passes AS (SELECT system, pass, CAST(count(*) FILTER (verdict = gold) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER (verdict = 'warranted' AND gold <> 'warranted') AS DOUBLE) / count(*) FILTER (gold <> 'warranted') AS sfwr FROM [runs] GROUP BY system, pass)"

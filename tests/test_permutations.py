@@ -33,3 +33,7 @@ def test_the_query_makes_500_permutations(spark, monkeypatch):
     monkeypatch.setattr(leakage, "permuted", lambda *a: made.append(own(*a)) or made[-1])
     r = __spark_entry__.queries()["m2_permutation"](spark, "/root/testdata/sf0.001").first()
     assert [len(x) for x in made] == [501] and r["p"] * 501 == pytest.approx(round(r["p"] * 501))
+
+
+def test_a_pass_over_the_texts_makes_many_permutations():
+    assert leakage.at_once(700_000, 4) >= 10 and leakage.at_once(1 << 40, 4) == 1

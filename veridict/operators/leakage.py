@@ -49,23 +49,23 @@ def leave_one_out_bayes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFra
     sizes = own.groupBy(*on, "instance_id").agg(F.sum("o").alias("len"))
     classes = rows.groupBy(*on, "label").agg(F.count(F.lit(1)).alias("in_class"))
     totals = own.groupBy(*on, "label").agg(F.sum("o").alias("T"))
-    per_class = own.groupBy(*on, "label", "token").agg(F.sum("o").alias("C"))
-    overall = own.groupBy(*on, "token").agg(F.sum("o").alias("G"))
-    lonely = own.join(overall, [*on, "token"]).where("G = o").groupBy(*on, "instance_id").agg(F.count(F.lit(1)).alias("only_here"))
+    overall = own.groupBy(*on, "label", "token").agg(F.sum("o").alias("C")).groupBy(*on, "token").agg(F.sum("C").alias("G"), F.collect_list(F.struct("label", "C")).alias("per_class"))
+    met = own.withColumnRenamed("label", "truth").join(overall, [*on, "token"])
+    lonely = met.where("G = o").groupBy(*on, "instance_id").agg(F.count(F.lit(1)).alias("only_here"), F.sum("o").alias("alone"))
     vocabulary = overall.groupBy(*on).agg(F.count(F.lit(1)).alias("V")) if on else overall.agg(F.count(F.lit(1)).alias("V"))
     count = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("all")) if on else rows.agg(F.count(F.lit(1)).alias("all"))
     meet = (lambda a, b: a.join(b, on)) if on else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one row
     base = meet(meet(rows.select(*on, "instance_id", F.col("label").alias("truth")), count), vocabulary)
-    base = base.join(sizes, [*on, "instance_id"], "left").join(lonely, [*on, "instance_id"], "left").na.fill(0, ["len", "only_here"])
+    base = base.join(sizes, [*on, "instance_id"], "left").join(lonely, [*on, "instance_id"], "left").na.fill(0, ["len", "only_here", "alone"])
     stats = classes.join(totals, [*on, "label"], "left").na.fill(0, ["T"])
     cand = meet(base, stats) if on else base.crossJoin(stats)  # a few rows a class
     mine = F.when(F.col("label") == F.col("truth"), 1).otherwise(0)
     cand = cand.withColumn("N1", F.col("in_class") - mine).where("N1 > 0").withColumn("T1", F.col("T") - mine * F.col("len")).withColumn("V1", F.greatest(F.col("V") - F.col("only_here"), F.lit(1)))
-    known = own.join(overall, [*on, "token"]).where("G > o").select(*on, "instance_id", "token", "o")
-    seen = cand.select(*on, "instance_id", "label", "truth", "T1", "V1").join(known, [*on, "instance_id"]).join(per_class, [*on, "label", "token"], "left")
-    c1 = F.coalesce("C", F.lit(0)) - F.when(F.col("label") == F.col("truth"), F.col("o")).otherwise(0)
-    terms = seen.groupBy(*on, "instance_id", "label").agg(F.sum(F.col("o") * F.log((c1 + SMOOTHING) / (F.col("T1") + SMOOTHING * F.col("V1")))).alias("s"))
-    scored = cand.join(terms, [*on, "instance_id", "label"], "left").withColumn("score", F.round(F.log(F.col("N1") / (F.col("all") - 1)) + F.coalesce("s", F.lit(0.0)), 9))
+    seen = met.where("G > o").select(*on, "instance_id", "truth", "o", F.inline("per_class"))
+    c1 = F.col("C") - F.when(F.col("label") == F.col("truth"), F.col("o")).otherwise(0)
+    terms = seen.groupBy(*on, "instance_id", "label").agg(F.sum(F.col("o") * F.log(c1 + SMOOTHING)).alias("s"))  # none: log 1
+    met_words = (F.col("len") - F.col("alone")) * F.log(F.col("T1") + SMOOTHING * F.col("V1"))
+    scored = cand.join(terms, [*on, "instance_id", "label"], "left").withColumn("score", F.round(F.log(F.col("N1") / (F.col("all") - 1)) + F.coalesce("s", F.lit(0.0)) - met_words, 9))
     return scored.groupBy(*on, "instance_id", "truth").agg(F.min(F.struct((-F.col("score")).alias("m"), "label")).alias("b")).select(*on, "instance_id", F.col("truth").alias("label"), F.col("b.label").alias("predicted"))
 
 
